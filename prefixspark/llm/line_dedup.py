@@ -28,6 +28,13 @@ def words_of(line: Column) -> Column:
     return F.filter(F.split(F.lower(line), r"[ \t\x0B\f\r]+"), lambda w: w != "")
 
 
+def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, t, line_no, line) of lines with words. The text is split before it is exploded, so no row carries it."""
+    text = text_of(text_col)
+    whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), F.split(text, "\n", -1).alias("lines"))
+    return whole.select("doc_id", "t", F.posexplode("lines").alias("line_no", "line")).where(F.col("line").rlike(r"[^ \t\x0B\f\r]"))
+
+
 def line_hashes(words: Column) -> list[Column]:
     return [F.xxhash64(words).alias("h1"), F.xxhash64(F.lit(3), words).alias("h2")]
 
@@ -55,12 +62,9 @@ def near_lines(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str)
     halves = distinct.where(F.size("halves") > 0).select("h1", "h2", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min(F.struct("h1", "h2")).alias("a"), F.max(F.struct("h1", "h2")).alias("b")).where("a != b").select("half")
     passed = halves.join(shared, "half").select("h1", "h2").distinct()
-    at = distinct.join(passed, ["h1", "h2"]).select("h1", "h2", "pos")
-    lists = at.groupBy(F.col("pos.doc_id").alias("p_id"), F.col("pos.t").alias("p_t")).agg(F.collect_list(F.struct(F.col("pos.line_no").alias("line_no"), "h1", "h2", "pos")).alias("wanted"))
-    text = text_of(text_col)
-    whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), F.split(text, "\n", -1).alias("lines"))
-    met = whole.join(lists, (F.col("t") == F.col("p_t")) & F.col("doc_id").eqNullSafe(F.col("p_id")))
-    met = met.select(F.explode("wanted").alias("w"), "lines").select("w.h1", "w.h2", "w.pos", words_of(F.get("lines", F.col("w.line_no"))).alias("words"))
+    at = distinct.join(passed, ["h1", "h2"]).select("h1", "h2", "pos", F.col("pos.doc_id").alias("p_id"), F.col("pos.t").alias("t"), F.col("pos.line_no").alias("line_no"))
+    met = lines_of(docs, id_col, text_col).join(at, ["t", "line_no"]).where(F.col("doc_id").eqNullSafe(F.col("p_id")))
+    met = met.select("h1", "h2", "pos", words_of(F.col("line")).alias("words"))
     lines = materialise(met.dropDuplicates(["h1", "h2"]), "line-words")
 
     exploded = lines.repartition("h1", "h2").select("h1", "h2", F.posexplode("words").alias("i", "word"))
@@ -89,9 +93,7 @@ def near_lines(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str)
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, t, n_equal, n_near, dropped): for each text with lines that go, how many and their numbers from 0. ``t`` is the
     text's xxhash64, so rows that share an id but not a text stay apart."""
-    text = text_of(text_col)
-    lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
-    lines = lines.select("doc_id", "t", "line_no", words_of(F.col("line")).alias("words")).where(F.size("words") > 0)
+    lines = lines_of(docs, id_col, text_col).select("doc_id", "t", "line_no", words_of(F.col("line")).alias("words"))
     halves = F.when(F.size("words") >= min_words, _halves(F.col("words"))).otherwise(F.array().cast("array<long>"))
     lines = materialise(lines.select("doc_id", "t", "line_no", *line_hashes(F.col("words")), halves.alias("halves")), "lines")
     pos = F.struct("doc_id", "line_no", "t")
@@ -128,8 +130,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with the duplicate lines cut from its text column; all other columns and all rows stay. Texts that lose nothing
     stay as they are (nulls too)."""
     found = materialise(duplicate_lines(docs, id_col, text_col, min_words), "lines-dropped")
-    joined = _with_dropped(docs, found, id_col, text_col)
-    lines = F.split(text_of(text_col), "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_dropped.dropped"))
-    cut = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+    # two uses of _lines keep its split out of the lambda
+    joined = _with_dropped(docs, found, id_col, text_col).withColumn("_lines", F.split(text_of(text_col), "\n", -1))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_dropped.dropped"))
+    cut = F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n")
     return joined.withColumn(text_col, F.when(F.col("_dropped").isNull(), F.col(text_col)).otherwise(cut)).select(*docs.columns)

@@ -87,7 +87,7 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         joined = measured.join(F.broadcast(hosts), F.col("host").eqNullSafe(F.col("h")), "left")
     else:  # a hot host's documents go to SALTS partitions
         left = measured.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
-        right = hosts.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        right = hosts.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         joined = left.join(right, F.col("host").eqNullSafe(F.col("h")) & (F.col("salt") == F.col("s")), "left").drop("salt", "s")
     kept = ~F.col("base_failed") & ~(F.col("host_bad") & F.col("soft_failed"))
     return joined.withColumn("kept", kept).drop("h", "failed")

@@ -36,15 +36,17 @@ ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 _UP, _LOW, _DIG = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
-#: name, symbols in order, how many times likelier than in a uniform source two symbols of text are equal
+#: name, symbols in order, how many times likelier than in a uniform source two symbols of text are equal; None where
+#: strings of this size can't be told from glued words (letters alone) or numbers (digits alone)
 ENCODINGS = (
+    ("decimal", _DIG, None),
     ("hex", _DIG + "abcdef", 1.5),
     ("hex_upper", _DIG + "ABCDEF", 1.5),
-    ("lower", _LOW, 1.7),
-    ("upper", _UP, 1.7),
+    ("lower", _LOW, None),
+    ("upper", _UP, None),
     ("base32", _UP + "234567", 1.8),
     ("base36", _DIG + _LOW, 2.0),
-    ("letters", _UP + _LOW, 2.6),
+    ("letters", _UP + _LOW, None),
     ("base62", _DIG + _UP + _LOW, 3.0),
     ("base64", _UP + _LOW + _DIG + "+/", 3.0),
     ("base64url", _UP + _LOW + _DIG + "-_", 3.0),
@@ -60,30 +62,17 @@ def _phi(z: float) -> float:
     return 0.5 * math.erfc(-z / math.sqrt(2))
 
 
-def _z(p: float) -> float:
-    """The standard normal quantile by bisection on erfc; p is kept within 1e-15 of the ends."""
-    p = min(max(p, 1e-15), 1 - 1e-15)
-    lo, hi = -8.5, 8.5
-    for _ in range(60):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if _phi(mid) < p else (lo, mid)
-    return (lo + hi) / 2
-
-
-def infer_encoding(s: str) -> tuple[str, dict[str, int], float] | None:
-    """The smallest alphabet that holds ``s``; None for digits alone, where numbers and secrets look the same."""
+def infer_encoding(s: str) -> tuple[str, dict[str, int], float | None]:
+    """The smallest alphabet that holds the candidate ``s``."""
     symbols = set(s)
-    if symbols <= set(_DIG):
-        return None
-    return next((e for e in _INDEX if symbols <= e[1].keys()), None)
+    return next(e for e in _INDEX if symbols <= e[1].keys())
 
 
 def battery(s: str) -> tuple[str, float]:
-    """(encoding, p-value of "text-like"). Strings of one symbol, or of digits alone, have p = 1."""
-    found = infer_encoding(s)
-    if found is None or len(set(s)) < 2:
-        return ("decimal" if found is None else found[0]), 1.0
-    name, index, factor = found
+    """(encoding, p-value of "text-like"). Strings of one symbol, of letters alone or of digits alone have p = 1."""
+    name, index, factor = infer_encoding(s)
+    if factor is None or len(set(s)) < 2:
+        return name, 1.0
     x, n, a = [index[c] for c in s], len(s), len(index)
     counts: dict[int, int] = {}
     for i in x:

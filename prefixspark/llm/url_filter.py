@@ -39,15 +39,16 @@ def intervals_of(entries: DataFrame, pattern: str = "pattern", day: str = "day",
     return changes.withColumn("valid_to", F.lead("day").over(by)).where("listed").select("pattern", F.col("day").alias("valid_from"), "valid_to")
 
 
-def pattern_keys(url: Column, segments: Column | int) -> Column:
-    """The patterns that could cover a URL: its host and the hosts above it, and its host with up to ``segments`` path
-    segments."""
-    labels = F.split(host_of(url), r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    parts = F.filter(F.split(path_of(url), "/"), lambda x: x != "")
-    n = F.least(F.size(parts), segments if isinstance(segments, Column) else F.lit(segments))
-    paths = F.transform(F.filter(F.sequence(F.lit(0), n), lambda i: i > 0), lambda i: F.concat(host_of(url), F.lit("/"), F.array_join(F.slice(parts, 1, i), "/")))
-    return F.array_distinct(F.filter(F.concat(hosts, F.transform(paths, F.lower)), lambda k: k != ""))
+def with_keys(pages: DataFrame, depth: DataFrame) -> DataFrame:
+    """``pages`` (with a column url) by each pattern that could cover the URL: its host, the hosts above it, and its host with up
+    to ``depth`` path segments. Parts are columns before lambdas use them, so they are made once a row."""
+    parts = pages.crossJoin(F.broadcast(depth)).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+    parts = parts.withColumns({"labels": F.split("host", r"\."), "segments": F.filter(F.split("path", "/"), lambda x: x != "")})
+    parts = parts.withColumn("first", F.transform(F.slice("segments", F.lit(1), F.least(F.size("segments"), F.col("depth"))), F.lower))
+    hosts = F.transform("labels", lambda _, i: F.array_join(F.slice("labels", i + 1, F.size("labels")), "."))
+    paths = F.transform("first", lambda _, i: F.concat(F.col("host"), F.lit("/"), F.array_join(F.slice("first", F.lit(1), i + 1), "/")))
+    keys = F.array_distinct(F.filter(F.concat(hosts, paths), lambda k: k != ""))
+    return parts.withColumn("keys", keys).select(*pages.columns, F.explode("keys").alias("pattern"))
 
 
 def filter_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", day_col: str = "fetched", salts: int = SALTS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -65,8 +66,7 @@ def filter_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page
     until = F.least(F.coalesce("valid_to", "last_day"), "last_day")
     months = F.sequence(month_of(F.greatest("valid_from", "first_day")), month_of(until))
     monthly = within.select("pattern", "valid_from", "valid_to", F.explode(months).alias("month"))
-    keyed = pages.where("url IS NOT NULL AND fetched IS NOT NULL").distinct().crossJoin(F.broadcast(depth))
-    keyed = keyed.select("page_id", "url", "fetched", month_of(F.col("fetched")).alias("month"), F.explode(pattern_keys(F.col("url"), F.col("depth"))).alias("pattern"))
+    keyed = with_keys(pages.where("url IS NOT NULL AND fetched IS NOT NULL").distinct(), depth).withColumn("month", month_of(F.col("fetched")))
     if monthly.limit(broadcast_rows + 1).count() <= broadcast_rows:
         met = keyed.join(F.broadcast(monthly), ["pattern", "month"])
     else:
