@@ -58,7 +58,7 @@ def test_links_over_many_blocks(spark, monkeypatch):
     hub = rng.getrandbits(64)
     fps |= {hub ^ (1 << a) ^ (1 << b) for a in range(12) for b in range(12)}
     fps = sorted(np.array(sorted(fps), np.uint64).view(np.int64).tolist())
-    df = spark.createDataFrame([(x,) for x in fps], "fp long").repartition(4)
+    df = spark.createDataFrame([(x, [x]) for x in fps], "node long, words array<long>").repartition(4)
     got = {r["node"]: r["label"] for r in D.star_components(D.link_fingerprints(df, 4)).collect()}
     want = plain_components([x & (2**64 - 1) for x in fps], 4)
     assert [got.get(x, x) for x in fps] == [fps[c] for c in want]
@@ -67,10 +67,61 @@ def test_links_over_many_blocks(spark, monkeypatch):
 def test_forest_is_small():
     rng = random.Random(6)
     hub = rng.getrandbits(64)
-    group = np.array(sorted({hub ^ (1 << a) ^ (1 << b) for a in range(64) for b in range(64)}), np.uint64)
+    group = np.array(sorted({hub ^ (1 << a) ^ (1 << b) for a in range(64) for b in range(64)}), np.uint64)[:, None]
     u, _ = D.block_links(group, None, 4, most=10_000)
     assert len(u) == len(group) - 1  # 2 million links, one tree
 
 
+def plain_groups(pairs, k=5, t=0.8):
+    sets = []
+    for _, text in pairs:
+        w = re.findall("[^\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or ({tuple(w)} if w else set()))
+    label = list(range(len(pairs)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(len(pairs)):
+        for j in range(i):
+            if pairs[i][0] is not None and pairs[j][0] is not None and sets[i] and sets[j] and root(i) != root(j) and len(sets[i] & sets[j]) >= t * len(sets[i] | sets[j]):
+                label[max(root(i), root(j))] = min(root(i), root(j))
+    least = {}
+    for i, (doc_id, _) in enumerate(pairs):
+        if doc_id is not None and sets[i]:
+            least[root(i)] = min(least.get(root(i), doc_id), doc_id)
+    return [least.get(root(i)) if sets[i] else d for i, (d, _) in enumerate(pairs)]
+
+
+def check_groups(docs, texts):
+    pairs = texts(docs)
+    got = sorted((str(r["doc_id"]), str(r["component_id"])) for r in D.similar_groups(docs).collect())
+    assert got == sorted((str(i), str(c)) for (i, _), c in zip(pairs, plain_groups(pairs), strict=True))
+    return sum(a != b for a, b in got)
+
+
+def test_similar_groups_match_plain(small_docs, odd_docs, texts):
+    assert check_groups(small_docs, texts) > 5
+    check_groups(odd_docs.where("doc_id IS NOT NULL OR text IS NULL"), texts)
+
+
+def test_large_groups_of_edited_copies(spark, texts, monkeypatch):
+    monkeypatch.setattr(D, "VERIFY_ROWS", 20)  # so that a group has many verification jobs
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(400)]
+    rows = []
+    for _ in range(6):
+        base = rng.choices(vocabulary, k=rng.randint(40, 200))
+        for _ in range(rng.choice([3, 90])):
+            copy = list(base)
+            for _ in range(rng.randint(0, max(1, len(copy) // 60))):
+                copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+            rows.append((len(rows), " ".join(copy)))
+    rng.shuffle(rows)
+    assert check_groups(spark.createDataFrame(rows, "doc_id long, text string"), texts) > 50
+
+
 def test_empty_table(no_docs):
     assert D.near_duplicates(no_docs).count() == 0
