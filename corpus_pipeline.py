@@ -32,11 +32,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the least id stays. Documents without words have nothing to compare
-    and are left alone."""
-    worded = docs.where(F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[ \t-\r]+", "")) > 0)
-    groups = simhash_dedup.near_duplicates(worded, shingle=5)
-    return _without(docs, groups.where("doc_id <> component_id"))
+    """Of each group of texts with similar sets of five-word shingles (0.8 or more) the document of the least id stays."""
+    return _without(docs, simhash_dedup.similar_groups(docs).where("doc_id <> component_id"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
