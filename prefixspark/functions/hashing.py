@@ -5,12 +5,13 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 # FNV-1a's offset basis and prime.
 BASIS, PRIME = 0xCBF29CE484222325, 0x100000001B3
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(LongType())
 def fnv1a56(keys: pd.Series) -> pd.Series:
     """The low 56 bits of each key's FNV-1a, one byte of all keys at a time."""
     n = keys.str.len().fillna(0).to_numpy(np.int64)

@@ -1,0 +1,85 @@
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from prefixspark.errors import InvalidNodeType
+from prefixspark.operators import arena, audit, telemetry
+
+
+def bump(spark, sizes, capacity):
+    df = spark.createDataFrame([(0, i, n, a) for i, (n, a) in enumerate(sizes)], "arena INT, seq INT, size BIGINT, align BIGINT")
+    return arena.bump(df, capacity).orderBy("seq").collect()
+
+
+def test_bump(spark):
+    rows = bump(spark, [(17, 8), (17, 8)], 256)
+    assert [(r["reserved"], r["start"], r["fits"]) for r in rows] == [(24, 0, True), (24, 24, True)]
+    rows = bump(spark, [(16, 8), (32, 8), (1, 1)], 32)
+    assert [r["fits"] for r in rows] == [True, False, False]  # a failure moves the frontier too
+    assert [r["raw"] for r in rows] == [0, 23, 62]
+
+
+def test_slabs(spark):
+    sizes = {r["node_type"]: r["chunk_size"] for r in arena.slab_classes(spark).collect()}
+    assert sizes == {"Node4": 3984, "Node16": 3952, "Node64": 3696, "Node256": 2064} and max(sizes.values()) <= 4096
+    pools = spark.createDataFrame([(4 * 4096,), (65_536,), (4096,)], "capacity BIGINT")
+    got = {r["capacity"]: r["n_slots"] for r in arena.slab_capacity(pools).where("class = 0").collect()}
+    assert got == {16_384: 332, 65_536: 1328, 4096: 83}
+    assert arena.class_of("Node64") == 2
+    with pytest.raises(InvalidNodeType):
+        arena.class_of("LeafOffset")
+
+
+def test_slab_replay(spark):
+    rows = [(0, 0, i, "alloc", None) for i in range(85)] + [(0, 0, 85, "free", 96), (0, 0, 86, "alloc", None)]
+    got = arena.slab_replay(spark.createDataFrame(rows, "pool BIGINT, class INT, seq BIGINT, op STRING, offset BIGINT"), 4096).orderBy("seq").collect()
+    assert [r["offset"] for r in got[:83]] == [48 * i for i in range(82, -1, -1)]  # the highest slot first
+    assert [r["offset"] for r in got[83:]] == [None, None, 96, 96]
+
+
+def test_slab_pressure_recycles(spark):
+    n = 1328
+    rows = [(0, 0, i, "alloc", None) for i in range(n)] + [(0, 0, n + i, "free", 96 * i + i // 42 * 0) for i in range(0)]
+    got = arena.slab_replay(spark.createDataFrame(rows, "pool BIGINT, class INT, seq BIGINT, op STRING, offset BIGINT"), 65_536)
+    offsets = sorted(r["offset"] for r in got.collect())
+    assert len(set(offsets)) == n and offsets[-1] == 15 * 3984 + 82 * 48
+    again = rows + [(0, 0, n + i, "free", o) for i, o in enumerate(offsets[::2])] + [(0, 0, 2 * n + i, "alloc", None) for i in range(n)]
+    done = arena.slab_replay(spark.createDataFrame(again, "pool BIGINT, class INT, seq BIGINT, op STRING, offset BIGINT"), 65_536)
+    assert done.where(f"seq >= {2 * n} AND offset IS NOT NULL").count() == n // 2 == 664
+
+
+def test_reclamation(spark):
+    cases = [(1, 0, None, True), (0, 0, None, False), (2, 0, 1, True), (1, 0, 1, False), (5, 3, 3, False), (5, 3, 4, True)]
+    df = spark.createDataFrame(cases, "now INT, retired INT, least INT, want BOOLEAN")
+    assert df.where(arena.reclaimable(F.col("now"), F.col("retired"), F.col("least")) != F.col("want")).count() == 0
+
+
+def test_rates_and_hits(spark):
+    t = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(t, 0), (t + dt.timedelta(milliseconds=50), 10), (t + dt.timedelta(seconds=2), 40), (t + dt.timedelta(seconds=4), 30)], "ts TIMESTAMP, n BIGINT")
+    assert [None if r["rate"] is None else round(r["rate"], 3) for r in telemetry.rates(df, "n").orderBy("ts").collect()] == [None, None, 15.385, 0.0]
+    got = spark.createDataFrame([(3, 1), (0, 0)], "h INT, m INT").select(telemetry.hit_rate(F.col("h"), F.col("m")).alias("r")).collect()
+    assert sorted(r["r"] for r in got) == [0.0, 0.75]
+
+
+def test_ring_and_pump(spark):
+    df = spark.range(5).withColumn("drain", F.lit(0))
+    assert [r["kept"] for r in telemetry.ring(df, "drain", "id", 4).orderBy("id").collect()] == [True] * 4 + [False]
+    kinds = spark.range(200).withColumn("kind", F.when(F.col("id") % 2 == 0, "TreeHit").otherwise("KvMatch"))
+    assert [r["id"] for r in telemetry.pump(kinds, "id").collect()] == [63, 61, 59, 57, 55, 53]
+    one = telemetry.counters(kinds, kinds=["TreeHit", "WalFlush"]).first()
+    assert (one["TreeHit"], one["WalFlush"]) == (100, 0)
+
+
+@pytest.mark.parametrize(("workers", "keyspace", "verified"), [(4, 1024, 1024), (4, 65_536, 10_000), (0, 1024, 0)])
+def test_storm(spark, workers, keyspace, verified):
+    assert tuple(audit.storm_audit(spark, workers, 40_000, keyspace).first()) == (verified, 0)
+
+
+def test_pressure(spark):
+    df = spark.range(10).select(F.lit(0).alias("g"), "id", F.lit(10).alias("size"))
+    assert audit.fill(df, 45, "size", "id", "g").where("stored").count() == 4
+    assert [r["id"] for r in audit.sample(spark.range(200), "id").orderBy("id").collect()] == [0, 97, 194]
+    rates = spark.createDataFrame([(5, 50), (0, 0)], "c INT, a INT").select(audit.contention_rate(F.col("c"), F.col("a")).alias("r")).collect()
+    assert sorted(r["r"] for r in rates) == [0.0, 10.0]
