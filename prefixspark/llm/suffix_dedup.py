@@ -7,13 +7,15 @@ into runs with one anchor each, and only runs with equal anchor grams need be co
 1. every text gives its runs (gram, place of the anchor, range of starts, hash of all the run's bytes), no text;
 2. counts by (gram, run hash) settle most: a gram that occurs once has no repeated window, a run whose whole bytes
    occur twice has only repeated ones;
-3. the bytes of the other runs, and one copy of each run they may repeat, go to the task of their gram, which
-   compares all windows. A gram with very many different runs is not sent to one task: its windows go as hashed
-   rows to a distributed count;
+3. the bytes of the other runs, and one copy of each run they may repeat, go to the task of their gram as the documents
+   of a collection, with the anchor in one column. ``bwt_columns`` inserts one symbol of each per round and keeps the
+   collection's transform and common prefixes: a window is repeated if the suffix before or after its own in the order has
+   the window's length in common. A gram with very many different runs is not sent to one task: its windows go as
+   hashed rows to a distributed count;
 4. the repeated windows of each text, merged to spans, meet the text again.
 
-The column-wise construction of the collection's Burrows-Wheeler transform is in ``bwt_columns``; it takes a round
-for each symbol of the longest text. README has the figures that rule it out as the main path.
+Equal windows always share their anchor and so their column, which is why the transform is needed by column only. Over
+whole texts it would take a round for each symbol of the longest text, each over all suffixes so far; README has figures.
 """
 
 from __future__ import annotations
@@ -27,13 +29,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bwt_columns import repeated_windows
 from .common import materialise, text_of
 
 GRAM = 64
 #: Different runs of a gram that one task compares; the windows of a gram with more are counted as rows.
 HOT_RUNS = 20_000
-#: Windows that a task holds before it looks for repeats (at the next gram).
-HELD_WINDOWS = 1_500_000
+#: Runs that a task holds before it looks for repeats (at the next gram).
+HELD_RUNS = 10_000
 #: Starts that are handled at once, so that an anchor's place fits 20 bits.
 PIECE = (1 << 20) - (1 << 12)
 
@@ -100,10 +103,10 @@ def _emit_bytes(length: int):
             for i, (raw, want) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                 for w in want:
                     at.append(i)
-                    rows.append((w["gram"], w["lo"], w["n"], w["hot"], raw[w["lo"] : w["hi"] + length]))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
+                    rows.append((w["gram"], w["lo"], w["p"], w["n"], w["hot"], raw[w["lo"] : w["hi"] + length]))
+            columns = list(zip(*rows, strict=True)) or [()] * 6
             at = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True))], names=["t1", "t2", "gram", "lo", "n", "hot", "bytes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True))], names=["t1", "t2", "gram", "lo", "p", "n", "hot", "bytes"])
 
     return run
 
@@ -131,27 +134,20 @@ def _compare(length: int):
     """Runs sorted by gram; the repeated windows of those that occur once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple[int, int, int, int]] = []
-        hashes: list[list[int]] = []
-        held, last = 0, None
+        rows: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            every = np.fromiter((h for x in hashes for h in x), np.int64, held)
-            _, inverse, count = np.unique(every, return_inverse=True, return_counts=True)
-            twice, ends = count[inverse] > 1, np.cumsum([len(x) for x in hashes])
-            parts = [np.flatnonzero(x) for x in np.split(twice, ends[:-1])]
-            once = [i for i, r in enumerate(rows) if r[3] == 1]
-            return _spans([rows[i][0] for i in once], [rows[i][1] for i in once], [parts[i] + rows[i][2] for i in once], length)
+            t1, t2, gram, lo, p, n, raw = zip(*rows, strict=True)
+            starts = repeated_windows(list(raw), np.array(gram), np.array(lo) - np.array(p) + length - GRAM, length)
+            once = [i for i, k in enumerate(n) if k == 1]
+            return _spans([t1[i] for i in once], [t2[i] for i in once], [starts[i] + lo[i] for i in once], length)
 
         for batch in batches:
-            for t1, t2, gram, lo, n, raw in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                if gram != last and held > HELD_WINDOWS:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                if len(rows) > HELD_RUNS and row[2] != rows[-1][2]:
                     yield flush()
-                    rows, hashes, held = [], [], 0
-                last = gram
-                rows.append((t1, t2, lo, n))
-                hashes.append(window_hashes(raw, length))
-                held += len(hashes[-1])
+                    rows = []
+                rows.append(row)
         if rows:
             yield flush()
 
@@ -161,7 +157,7 @@ def _compare(length: int):
 def _emit_windows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t1, t2, _, lo, n, raw in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for t1, t2, lo, n, raw in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 h = window_hashes(raw, length)
                 columns = (np.full(len(h), t1), np.full(len(h), t2), np.arange(lo, lo + len(h)), np.full(len(h), n), np.array(h))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["t1", "t2", "a", "n", "h"])
@@ -206,16 +202,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     raw = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), *text_key(text), text.cast("binary").alias("bytes")).where(F.length("bytes") >= length)
     key = "id long, t1 long, t2 long"
     runs = materialise(raw.mapInArrow(_emit_runs(length), f"{key}, gram long, p long, lo long, hi long, whole long"), "suffix-runs")
-    counted = runs.groupBy("gram", "whole").agg(F.count("*").alias("n"), F.min(F.struct("id", "t1", "t2", "lo", "hi")).alias("one"))
+    counted = runs.groupBy("gram", "whole").agg(F.count("*").alias("n"), F.min(F.struct("id", "t1", "t2", "lo", "hi", "p")).alias("one"))
     counted = materialise(counted, "suffix-counts")
     grams = counted.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1").select("gram", (F.col("kinds") > hot_runs).alias("hot"))
     # one copy of each run to compare, by the text it is taken from
-    wanted = counted.join(grams, "gram").select("one.*", F.struct("gram", F.col("one.lo").alias("lo"), F.col("one.hi").alias("hi"), "n", "hot").alias("w"))
+    wanted = counted.join(grams, "gram").select("one.*", F.struct("gram", F.col("one.lo").alias("lo"), F.col("one.hi").alias("hi"), F.col("one.p").alias("p"), "n", "hot").alias("w"))
     wanted = wanted.groupBy("id", "t1", "t2").agg(F.collect_list("w").alias("want"))
-    sent = raw.join(wanted, ["id", "t1", "t2"]).select("t1", "t2", "bytes", "want").mapInArrow(_emit_bytes(length), "t1 long, t2 long, gram long, lo long, n long, hot boolean, bytes binary")
+    sent = raw.join(wanted, ["id", "t1", "t2"]).select("t1", "t2", "bytes", "want").mapInArrow(_emit_bytes(length), "t1 long, t2 long, gram long, lo long, p long, n long, hot boolean, bytes binary")
     sent = materialise(sent, "suffix-edges")
-    usual = sent.where(~F.col("hot")).repartition("gram").sortWithinPartitions("gram").select("t1", "t2", "gram", "lo", "n", "bytes").mapInArrow(_compare(length), _SPAN)
-    windows = sent.where("hot").select("t1", "t2", "gram", "lo", "n", "bytes").mapInArrow(_emit_windows(length), "t1 long, t2 long, a long, n long, h long")
+    usual = sent.where(~F.col("hot")).repartition("gram").sortWithinPartitions("gram").select("t1", "t2", "gram", "lo", "p", "n", "bytes").mapInArrow(_compare(length), _SPAN)
+    windows = sent.where("hot").select("t1", "t2", "lo", "n", "bytes").mapInArrow(_emit_windows(length), "t1 long, t2 long, a long, n long, h long")
     twice = windows.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
     hot = windows.where("n = 1").join(twice, "h").select("t1", "t2", "a", (F.col("a") + length).alias("b"))
     whole = runs.join(counted.where("n > 1").select("gram", "whole"), ["gram", "whole"]).select("t1", "t2", F.col("lo").alias("a"), (F.col("hi") + length).alias("b"))
@@ -229,8 +225,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A byte goes if any string of ``length`` bytes over it also starts elsewhere, in this text or another; strings are
     judged on the input. Null texts count as empty; texts below ``length`` stay whole. Rows that repeat are
-    separate texts and repeat each other. An empty table gives an empty table. Other columns are not read. Strings are
-    compared by 64 bits of hash within equal grams' 44 or more.
+    separate texts and repeat each other. An empty table gives an empty table. Other columns are not read. Windows
+    are compared byte by byte, but for whole runs and hot grams: 64 bits of hash, within equal grams.
     """
     text = text_of(text_col)
     spans = materialise(repeated_spans(docs, id_col, text_col, length, hot_runs), "suffix-spans")

@@ -1,8 +1,10 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
+from prefixspark.llm import bwt_columns as C
 from prefixspark.llm import suffix_dedup as D
 
 
@@ -52,11 +54,38 @@ def test_shared_and_edited_passages(spark, texts, hot_runs):
     assert check(spark.createDataFrame(rows, "doc_id long, text string"), texts, length=128, hot_runs=hot_runs) > 30
 
 
-def test_held_windows_are_cut_between_grams(spark, small_docs, monkeypatch, texts):
-    monkeypatch.setattr(D, "HELD_WINDOWS", 50)
+def test_held_runs_are_cut_between_grams(spark, small_docs, monkeypatch, texts):
+    monkeypatch.setattr(D, "HELD_RUNS", 5)
     assert check(small_docs.limit(60), texts)
 
 
+def test_columns_match_plain_suffix_order():
+    """Order and common prefixes of each column against sorted suffixes; bytes 0 and 255 are symbols like others."""
+    rng = random.Random(13)
+    for _ in range(30):
+        n, width = rng.randint(1, 12), rng.randint(1, 14)
+        symbols = rng.choice(([0, 255], [1, 2, 3], list(range(9))))
+        starts = [rng.randrange(width) for _ in range(n)]
+        texts = [bytes(rng.choices(symbols, k=rng.randint(0, width - s))) for s in starts]
+        groups = np.array(sorted(rng.randint(0, 2) for _ in range(n)))
+        order, prefix = np.arange(n), np.zeros(n, np.int32)
+        for k in range(width - 1, -1, -1):
+            column = np.array([t[k - s] + 1 if 0 <= k - s < len(t) else 0 for t, s in zip(texts, starts, strict=True)], np.uint16)
+            order, prefix = C.next_column(column, groups.astype(np.uint16), order, prefix, 99)
+            suffix = [t[k - s :] if k >= s else b"" for t, s in zip(texts, starts, strict=True)]
+            here = [(groups[i], suffix[i]) for i in order]
+            assert here == sorted(here)
+            for i in range(1, n):
+                a, b = here[i - 1], here[i]
+                common = next((j for j, (x, y) in enumerate(zip(a[1], b[1], strict=False)) if x != y), min(len(a[1]), len(b[1])))
+                assert prefix[i] == (common if a[0] == b[0] else 0)
+        for length in (1, 3):
+            got = C.repeated_windows(texts, groups, np.array(starts), length)
+            for i, (t, s) in enumerate(zip(texts, starts, strict=True)):
+                want = [j for j in range(len(t) - length + 1) if any(groups[m] == groups[i] and m != i and j + s >= starts[m] and texts[m][j + s - starts[m] : j + s - starts[m] + length] == t[j : j + length] for m in range(n))]
+                assert got[i].tolist() == want
+
+
 def test_spans():
     assert D.merge_spans([(5, 9), (1, 3), (3, 5), (20, 22)]) == [(1, 9), (20, 22)]
     assert D.kept_bytes(b"0123456789", [(0, 2), (5, 10)]) == b"234"
