@@ -29,13 +29,13 @@ def match_prefix(cached: DataFrame, queries: DataFrame) -> DataFrame:
     The cached lengths cut each query into candidates that meet the cache by hash and are compared in full.
     """
     lengths = cached.agg(F.coalesce(F.collect_set(F.size("tokens")), F.array().cast("array<int>")).alias("_lengths"))  # one row
-    numbered = queries.withColumn("_n", F.monotonically_increasing_id())
-    wide = numbered.select("_n", F.col("tokens").alias("_q")).crossJoin(F.broadcast(lengths))
-    cut = wide.select("_n", "_q", F.explode(F.filter("_lengths", lambda k: (k > 0) & (k <= F.size("_q")))).alias("_k"))
-    cut = cut.select("_n", "_k", F.slice("_q", F.lit(1), F.col("_k")).alias("_p")).withColumn("_h", F.xxhash64("_p"))
+    asked = queries.select(F.col("tokens").alias("_q")).dropna().distinct()
+    cut = asked.crossJoin(F.broadcast(lengths)).select("_q", F.explode(F.filter("_lengths", lambda k: (k > 0) & (k <= F.size("_q")))).alias("_k"))
+    cut = cut.select("_q", "_k", F.slice("_q", F.lit(1), F.col("_k")).alias("_p")).withColumn("_h", F.xxhash64("_p"))
     stored = cached.select("tokens", "kv_offset").withColumn("_h", F.xxhash64("tokens"))
-    best = cut.join(stored, "_h").where("_p = tokens").groupBy("_n").agg(F.max(F.struct("_k", "kv_offset")).alias("_best"))
-    return numbered.join(best, "_n", "left").withColumn("token_len", F.col("_best._k")).withColumn("kv_offset", F.col("_best.kv_offset")).drop("_n", "_best")
+    best = cut.join(stored, "_h").where("_p = tokens").groupBy("_q").agg(F.max(F.struct("_k", "kv_offset")).alias("_best"))
+    found = queries.drop("kv_offset").join(best, F.col("tokens") == F.col("_q"), "left")
+    return found.withColumn("token_len", F.col("_best._k")).withColumn("kv_offset", F.col("_best.kv_offset")).drop("_q", "_best")
 
 
 def clock_batch(events: DataFrame, slot: str = "slot") -> DataFrame:

@@ -36,13 +36,12 @@ def longest_prefix(state: DataFrame, probes: DataFrame, probe: str = "query") ->
     equi-join and never compares a query with every key. The empty key is a prefix of all.
     """
     lengths = state.agg(F.coalesce(F.collect_set(F.octet_length("key")), F.array().cast("array<int>")).alias("_lengths"))  # one row
-    numbered = probes.withColumn("_n", F.monotonically_increasing_id())
-    bytes_ = F.col(probe).cast("binary")
-    wide = numbered.select("_n", bytes_.alias("_q")).crossJoin(F.broadcast(lengths))
-    cut = wide.select("_n", "_q", F.explode(F.filter("_lengths", lambda k: k <= F.octet_length("_q"))).alias("_k"))
-    cut = cut.select("_n", "_k", F.expr("substring(_q, 1, _k)").alias("key"))
-    best = cut.join(state.select("key", "value"), "key").groupBy("_n").agg(F.max(F.struct("_k", "value")).alias("_best"))
-    return numbered.join(best, "_n", "left").withColumn("matched_bytes", F.col("_best._k")).withColumn("value", F.col("_best.value")).drop("_n", "_best")
+    asked = probes.select(F.col(probe).cast("binary").alias("_q")).dropna().distinct()
+    cut = asked.crossJoin(F.broadcast(lengths)).select("_q", F.explode(F.filter("_lengths", lambda k: k <= F.octet_length("_q"))).alias("_k"))
+    cut = cut.select("_q", "_k", F.expr("substring(_q, 1, _k)").alias("key"))
+    best = cut.join(state.select("key", "value"), "key").groupBy("_q").agg(F.max(F.struct("_k", "value")).alias("_best"))
+    found = probes.join(best, F.col(probe).cast("binary") == F.col("_q"), "left")
+    return found.withColumn("matched_bytes", F.col("_best._k")).withColumn("value", F.col("_best.value")).drop("_q", "_best")
 
 
 def as_key(text: Column) -> Column:
