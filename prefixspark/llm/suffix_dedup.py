@@ -34,9 +34,9 @@ from .common import materialise, text_of
 
 GRAM = 64
 #: Different runs of a gram that one task compares; the windows of a gram with more are counted as rows.
-HOT_RUNS = 20_000
+HOT_RUNS = 8_000
 #: Runs that a task holds before it looks for repeats (at the next gram).
-HELD_RUNS = 10_000
+HELD_RUNS = 4_000
 #: Starts that are handled at once, so that an anchor's place fits 20 bits.
 PIECE = (1 << 20) - (1 << 12)
 
@@ -165,28 +165,30 @@ def _emit_windows(length: int):
     return run
 
 
-def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Maximal runs of the union; spans that touch are one run."""
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+def merge_spans(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of the union of [a, b); spans that touch are one run."""
+    if not len(a):
+        return a, b
+    order = np.argsort(a, kind="stable")
+    a, reach = a[order], np.maximum.accumulate(b[order])
+    first = np.concatenate([[True], a[1:] > reach[:-1]])
+    return a[first], reach[np.append(first[1:], True)]
 
 
-def kept_bytes(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
-    edges = [0, *(x for s in spans for x in s), len(raw)]
-    return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+def kept_bytes(raw: bytes, a: np.ndarray, b: np.ndarray) -> bytes:
+    return b"".join(raw[i:j] for i, j in zip([0, *b.tolist()], [*a.tolist(), len(raw)], strict=True))
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[list] = [[], [], [], []]
-        for raw, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            spans = merge_spans([(s["a"], s["b"]) for s in found or ()])
-            for column, v in zip(out, (len(raw), sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept_bytes(raw, spans)).hexdigest()), strict=True):
+        spans = batch.column(2)
+        a, b = (spans.values.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        edges = spans.offsets.to_numpy()
+        for i, raw in enumerate(batch.column(1)):
+            raw = raw.as_py()
+            lo, hi = merge_spans(a[edges[i] : edges[i + 1]], b[edges[i] : edges[i + 1]])
+            for column, v in zip(out, (len(raw), int((hi - lo).sum()), len(lo), hashlib.sha256(kept_bytes(raw, lo, hi)).hexdigest()), strict=True):
                 column.append(v)
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
@@ -231,4 +233,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = text_of(text_col)
     spans = materialise(repeated_spans(docs, id_col, text_col, length, hot_runs), "suffix-spans")
     whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), *text_key(text), text.cast("binary").alias("bytes"))
-    return whole.join(spans, ["t1", "t2"], "left").select("doc_id", "bytes", "spans").mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    none = F.array().cast("array<struct<a:long,b:long>>")
+    return whole.join(spans, ["t1", "t2"], "left").select("doc_id", "bytes", F.coalesce("spans", none).alias("spans")).mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
