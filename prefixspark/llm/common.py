@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 #: A table of at most this many rows may be broadcast; beyond it every caller has a shuffled way.
 BROADCAST_ROWS = 100_000
 _fallback: dict[str, str] = {}
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,9 +28,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends there, and a lost executor costs nothing before it."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def scratch_mark() -> int:
+    """A place in the list of written tables, for ``drop_scratch``."""
+    return len(_written)
+
+
+def drop_scratch(spark: SparkSession, since: int = 0, keep: str = "") -> None:
+    """Delete the tables written since a mark, but those of the name ``keep``. Results that still read them are lost, so it is
+    for callers that have written theirs."""
+    for path in [p for p in _written[since:] if not keep or f"/{keep}-" not in p]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _written.remove(path)
+
+
 def text_of(column: str) -> Column:
     """A text column with null as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

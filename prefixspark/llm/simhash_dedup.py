@@ -156,7 +156,8 @@ def link_fingerprints(fps: DataFrame, radius: int) -> DataFrame:
     span = [(min(m)[0], max(m)[0]) for m in blocks]
     jobs = [(i, j) for i in range(len(blocks)) for j in range(i, len(blocks)) if span[j][0] - span[i][1] <= radius]
     goes = spark.createDataFrame([(b, n, b == j, i == j) for n, (i, j) in enumerate(jobs) for b in {i, j}], "b int, job int, right_side boolean, own boolean")
-    deal = F.broadcast(spark.createDataFrame(of, "p int, k int, b int"))
+    deal = spark.createDataFrame(of, "p int, k int, b int")
+    deal = F.broadcast(deal) if len(of) <= BROADCAST_ROWS else deal
     cuts = F.broadcast(spark.createDataFrame([(p, k) for p, k in parts.items()], "p int, cuts int"))
     dealt = fps.join(cuts, "p").withColumn("k", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")).join(deal, ["p", "k"])
     sent = dealt.join(F.broadcast(goes) if len(jobs) <= BROADCAST_ROWS else goes, "b").select("job", "node", "words", "right_side", "own")
