@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefixspark.llm import decontaminate, line_dedup, packing, quality_rules, simhash_dedup
-from prefixspark.llm.common import documents, materialise
+from prefixspark.llm.common import documents, drop_scratch, materialise, scratch_mark
 
 #: No SQL: fingerprints, edit distances and the dynamic programme are tested against brute force.
 ORACLE_SQL = None
@@ -49,7 +49,8 @@ STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_dupli
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, since = documents(spark, sf_dir), scratch_mark()
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop_scratch(spark, since, keep=f"pipeline-{name}")
     return docs
