@@ -25,7 +25,8 @@ MIN_WORDS = 8
 
 
 def words_of(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), r"[ \t\x0B\f\r]+"), lambda w: w != "")
+    """A split at one plain character needs no regular expression for each row; other white space becomes one first."""
+    return F.filter(F.split(F.regexp_replace(F.lower(line), r"[\t\x0B\f\r]", " "), " "), lambda w: w != "")
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -59,35 +60,42 @@ def one_word_apart(x: Column, y: Column) -> Column:
 
 def near_lines(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(h1, h2) of distinct lines with an earlier near line. ``distinct``: h1, h2, pos (doc_id, line_no, t), halves."""
-    halves = distinct.where(F.size("halves") > 0).select("h1", "h2", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.min(F.struct("h1", "h2")).alias("a"), F.max(F.struct("h1", "h2")).alias("b")).where("a != b").select("half")
-    passed = halves.join(shared, "half").select("h1", "h2").distinct()
-    at = distinct.join(passed, ["h1", "h2"]).select("h1", "h2", "pos", F.col("pos.doc_id").alias("p_id"), F.col("pos.t").alias("t"), F.col("pos.line_no").alias("line_no"))
-    met = lines_of(docs, id_col, text_col).join(at, ["t", "line_no"]).where(F.col("doc_id").eqNullSafe(F.col("p_id")))
-    met = met.select("h1", "h2", "pos", words_of(F.col("line")).alias("words"))
+    halves = distinct.where(F.size("halves") > 0).select("h1", F.explode("halves").alias("half"))
+    shared = halves.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a != b").select("half")
+    passed = halves.join(shared, "half").select("h1").distinct()
+    at = distinct.join(passed, "h1").select("h1", "h2", "pos")
+    wanted = at.groupBy(F.col("pos.doc_id").alias("p_id"), F.col("pos.t").alias("p_t")).agg(F.collect_list(F.struct(F.col("pos.line_no").alias("line_no"), "h1", "h2")).alias("wanted"))
+    text = text_of(text_col)
+    whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
+    met = whole.join(wanted, (F.col("t") == F.col("p_t")) & F.col("doc_id").eqNullSafe(F.col("p_id"))).select("doc_id", "t", "wanted", F.split("text", "\n", -1).alias("lines"))
+    # only the wanted lines are exploded; a second use of "lines" keeps its split out of the lambda
+    picked = F.transform("wanted", lambda w: F.struct(w["h1"].alias("h1"), w["h2"].alias("h2"), w["line_no"].alias("line_no"), F.get("lines", w["line_no"]).alias("line")))
+    met = met.select("doc_id", "t", F.when(F.size("lines") > 0, picked).alias("picked")).select("doc_id", "t", F.explode("picked").alias("l"))
+    met = met.select("l.h1", "l.h2", F.struct("doc_id", "l.line_no", "t").alias("pos"), words_of(F.col("l.line")).alias("words"))
     lines = materialise(met.dropDuplicates(["h1", "h2"]), "line-words")
 
-    exploded = lines.repartition("h1", "h2").select("h1", "h2", F.posexplode("words").alias("i", "word"))
-    exploded = exploded.select("h1", "h2", "i", F.xxhash64("word", "i").alias("here"), F.xxhash64("word", F.col("i") - 1).alias("left"))
-    by = Window.partitionBy("h1", "h2").orderBy("i")
+    # from here to the verification a line is its first hash
+    exploded = lines.select("h1", "words").repartition("h1").select("h1", F.posexplode("words").alias("i", "word"))
+    exploded = exploded.select("h1", "i", F.xxhash64("word", "i").alias("here"), F.xxhash64("word", F.col("i") - 1).alias("left"))
+    by = Window.partitionBy("h1").orderBy("i")
     before = F.coalesce(F.bit_xor("here").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    all_left = F.bit_xor("left").over(Window.partitionBy("h1", "h2").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    all_left = F.bit_xor("left").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     upto_left = F.bit_xor("left").over(by.rowsBetween(Window.unboundedPreceding, 0))
-    variants = exploded.select("h1", "h2", "i", before.bitwiseXOR(all_left).bitwiseXOR(upto_left).alias("key"))
-    sums = exploded.groupBy("h1", "h2").agg(F.bit_xor("here").alias("key")).select("h1", "h2", F.lit(-1).alias("i"), "key")
+    variants = exploded.select("h1", "i", before.bitwiseXOR(all_left).bitwiseXOR(upto_left).alias("key"))
+    sums = exploded.groupBy("h1").agg(F.bit_xor("here").alias("key")).select("h1", F.lit(-1).alias("i"), "key")
     emitted = materialise(variants.unionByName(sums), "line-variants")
     keys = emitted.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a != b").select("key")
-    met = emitted.join(keys, "key").join(distinct.select("h1", "h2", "pos"), ["h1", "h2"])
-    met = materialise(met, "line-met")
+    met = emitted.join(keys, "key").join(distinct.select("h1", "pos"), "h1")
+    met = materialise(met.select("key", "i", "pos"), "line-met")
     at_place = met.where("i >= 0").groupBy("key", "i").agg(F.min("pos").alias("partner"))
     wholes = met.where("i < 0").groupBy("key").agg(F.min("pos").alias("partner"))
     lacking = met.where("i >= 0").groupBy("key").agg(F.min("pos").alias("partner"))
-    found = met.where("i >= 0").join(at_place, ["key", "i"]).select("h1", "h2", "pos", "partner")
-    found = found.unionByName(met.where("i >= 0").join(wholes, "key").select("h1", "h2", "pos", "partner"))
-    found = found.unionByName(met.where("i < 0").join(lacking, "key").select("h1", "h2", "pos", "partner"))
-    pairs = found.where(F.col("partner") < F.col("pos")).groupBy("h1", "h2").agg(F.min("partner").alias("partner"))
+    found = met.where("i >= 0").join(at_place, ["key", "i"]).select("pos", "partner")
+    found = found.unionByName(met.where("i >= 0").join(wholes, "key").select("pos", "partner"))
+    found = found.unionByName(met.where("i < 0").join(lacking, "key").select("pos", "partner"))
+    pairs = found.where(F.col("partner") < F.col("pos")).groupBy("pos").agg(F.min("partner").alias("partner"))
     theirs = lines.select(F.col("pos").alias("partner"), F.col("words").alias("other"))
-    return pairs.join(lines.select("h1", "h2", "words"), ["h1", "h2"]).join(theirs, "partner").where(one_word_apart(F.col("words"), F.col("other"))).select("h1", "h2")
+    return pairs.join(lines, "pos").join(theirs, "partner").where(one_word_apart(F.col("words"), F.col("other"))).select("h1", "h2")
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
