@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import InvalidParameter, VectorDimensionMismatch, require
-from ..functions.distance import distances, matrix
+from ..functions.distance import distances, l2_sq, matrix
 from ..functions.rng import Xorshift64Star
 
 # Codes in a sub-space, and the rounds of training.
@@ -269,22 +269,52 @@ def postings(vectors: DataFrame, model: IvfModel, id_col: str = "id", vec_col: s
     return vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("vec")).mapInArrow(run, "centroid INT, id BIGINT, code ARRAY<SMALLINT>")
 
 
-def search(posted: DataFrame, model: IvfModel, queries: DataFrame, k: int, digits: int | None = None) -> DataFrame:
-    """(query_id, rank, id, distance): each query's k nearest in the one list it is routed to, by its residual's table.
+def tables(queries: DataFrame, codebook: np.ndarray) -> DataFrame:
+    """(query_id, t): each query's distances to all codes of all sub-spaces, sub-space by sub-space."""
+    sent = queries.sparkSession.sparkContext.broadcast(codebook)
 
-    Lists above ``POSTING_ROWS`` are cut by id hash, with the list's queries copied to each part; a part keeps k rows a query.
-    """
-    require(k >= 0, "k must not be negative")
-    spark = posted.sparkSession
-    sent = spark.sparkContext.broadcast((model, model.router()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, _, w = sent.value.shape
+        for batch in batches:
+            t = lookup_table(matrix(batch.column(1), m * w), sent.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(t.reshape(len(t), -1)), pa.list_(pa.float64()))], names=["query_id", "t"])
+
+    return queries.select(F.col("query_id").cast("bigint"), "vec").mapInArrow(run, "query_id BIGINT, t ARRAY<DOUBLE>")
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def routes(queries: DataFrame, model: IvfModel, n_probe: int = 1) -> DataFrame:
+    """(query_id, vec, centroid, exact): the list a query is sent to and its exactly nearest centroid; with ``n_probe`` above 1 a
+    row for each of its nearest centroids instead."""
+    require(n_probe > 0, "probes must be positive")
+    sent = queries.sparkSession.sparkContext.broadcast((model, model.router()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, router = sent.value
         for batch in batches:
-            c = m.route(matrix(batch.column(1), m.centroids.shape[1]), router)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(c, pa.int32())], names=["query_id", "vec", "centroid"])
+            q = matrix(batch.column(1), m.centroids.shape[1])
+            near = np.argsort(distances(q, m.centroids), axis=1, kind="stable")[:, :n_probe]
+            to = near if n_probe > 1 else m.route(q, router)[:, None]
+            at = pa.array(np.repeat(np.arange(len(q)), to.shape[1]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(to.ravel(), pa.int32()), pa.array(np.repeat(near[:, 0], to.shape[1]), pa.int32())], names=["query_id", "vec", "centroid", "exact"])
 
-    routed = queries.select(F.col("query_id").cast("bigint"), "vec").mapInArrow(route, f"query_id BIGINT, vec {queries.schema['vec'].dataType.simpleString()}, centroid INT")
+    vec = queries.schema["vec"].dataType.simpleString()
+    return queries.select(F.col("query_id").cast("bigint"), "vec").mapInArrow(run, f"query_id BIGINT, vec {vec}, centroid INT, exact INT")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
+
+
+def search(posted: DataFrame, model: IvfModel, queries: DataFrame, k: int, digits: int | None = None, n_probe: int = 1) -> DataFrame:
+    """(query_id, rank, id, distance): each query's k nearest in the list it is routed to (or its ``n_probe`` nearest lists), by its
+    residual's table.
+
+    Lists above ``POSTING_ROWS`` are cut by id hash, with the list's queries copied to each part; a part keeps k rows a query.
+    """
+    require(k >= 0, "k must not be negative")
+    sent = posted.sparkSession.sparkContext.broadcast(model)
+    routed = routes(queries, model, n_probe).drop("exact")
     sizes = posted.groupBy("centroid").agg(F.ceil(F.count("*") / POSTING_ROWS).cast("int").alias("parts"))  # a row for each centroid
     dealt = posted.join(F.broadcast(sizes), "centroid").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
     asked = routed.join(F.broadcast(sizes), "centroid").select("query_id", "vec", "centroid", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
@@ -292,15 +322,25 @@ def search(posted: DataFrame, model: IvfModel, queries: DataFrame, k: int, digit
     def scan(qs: pd.DataFrame, ps: pd.DataFrame) -> pd.DataFrame:
         if not len(qs) or not len(ps):
             return pd.DataFrame({"query_id": [], "id": [], "distance": []})
-        m, _ = sent.value
-        table = lookup_table(np.stack(qs["vec"]).astype(float) - m.centroids[int(qs["centroid"].iloc[0])], m.codebook)
-        d = adc(table, np.stack(ps["code"]).astype(int))
-        q, i, d = _top(qs["query_id"].to_numpy(), ps["id"].to_numpy(), d if digits is None else np.round(d, digits), k)
+        m, codes, ids = sent.value, np.stack(ps["code"]).astype(int), ps["id"].to_numpy()
+        out = []
+        for i in range(0, len(qs), 64):  # bounded memory: 64 queries against a part
+            some = qs.iloc[i : i + 64]
+            table = lookup_table(np.stack(some["vec"]).astype(float) - m.centroids[int(some["centroid"].iloc[0])], m.codebook)
+            d = adc(table, codes)
+            out.append(_top(some["query_id"].to_numpy(), ids, d if digits is None else np.round(d, digits), k))
+        q, i, d = (np.concatenate(c) for c in zip(*out, strict=True))
         return pd.DataFrame({"query_id": q, "id": i, "distance": d})
 
     found = asked.groupBy("centroid", "part").cogroup(dealt.groupBy("centroid", "part")).applyInPandas(scan, "query_id BIGINT, id BIGINT, distance DOUBLE")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
+    return _ranked(found, k)
+
+
+def search_refined(posted: DataFrame, vectors: DataFrame, model: IvfModel, queries: DataFrame, k: int, n_probe: int, refine: int) -> DataFrame:
+    """As ``search`` over several lists, with the exact distances of the ``refine`` times k nearest by table."""
+    rough = search(posted, model, queries, k * refine, n_probe=n_probe).select("query_id", "id")
+    exact = rough.join(vectors.select("id", "vec"), "id").join(queries.select("query_id", F.col("vec").alias("q")), "query_id")
+    return _ranked(exact.select("query_id", "id", l2_sq(F.col("q"), F.col("vec")).alias("distance")), k)
 
 
 def recall(found: DataFrame, exact: DataFrame, k: int) -> DataFrame:

@@ -38,7 +38,15 @@ def test_registry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries()) and set(entries.QUERIES) <= set(entry.queries())
     assert entry.entry(spark).columns == ["page_id", "matched_bytes", "value"]
     without = set(entries.QUERIES) - set(entries.SQL)
-    assert without == {"slab_replay", "ivf_trained_search", "cache_replay"}  # sequential or trained: tested on their own
+    assert without == {"slab_replay", "ivf_trained_search", "ivf_search_refined", "cache_replay"}  # tested on their own
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_refined_search_reaches_its_recall(spark, sf):
+    where = f"/root/testdata/{sf}"
+    found, exact = (entries.QUERIES[n](spark, where) for n in ("ivf_search_refined", "exact_topk"))
+    rows = entries.vector.recall(found, exact, 10).collect()
+    assert len(rows) == exact.select("query_id").distinct().count() >= 5 and sum(r["recall"] for r in rows) / len(rows) >= 0.9
 
 
 def test_prefix_match_is_an_equi_join(spark):

@@ -50,4 +50,4 @@ def test_vector_appends_are_idempotent(spark, tmp_path):
 def few_partitions(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "2")
     yield
-    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
