@@ -34,6 +34,8 @@ _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 END_WORD = b"\n"
 OTHER, END, FIRST = 0, 1, 2  # symbol numbers
 HELD_OUT_OF = 10
+#: Next symbols that a task sorts at once; it sends its counts on when they exceed twice as many keys.
+COUNTED = 500_000
 
 
 def word_hash(word: bytes) -> int:
@@ -56,7 +58,7 @@ def _longs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["key", "n"])
 
 
-def _count_words(batches: Iterator[pa.RecordBatch], most: int = 400_000) -> Iterator[pa.RecordBatch]:
+def _count_words(batches: Iterator[pa.RecordBatch], most: int = 300_000) -> Iterator[pa.RecordBatch]:
     counts: Counter[bytes] = Counter()
 
     def flush() -> pa.RecordBatch:
@@ -91,7 +93,7 @@ class _Symbols(dict):
         return s
 
 
-def _encode(head, most: int = 400_000):
+def _encode(head, most: int = 300_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols = None
         for batch in batches:
@@ -156,33 +158,39 @@ def _count_next(tree, depth: int):
     """Counts of (context of ``depth`` symbols, next symbol), merged within the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[np.ndarray] = []
+        keys: list[np.ndarray] = []  # sorted runs of different keys, with their counts
         counts: list[np.ndarray] = []
-        held = 0
+        found: list[np.ndarray] = []
+        size = 0
+
+        def sort_found() -> None:
+            nonlocal found, size
+            k, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.int64),) * 2
+            keys.append(k)
+            counts.append(n)
+            found, size = [], 0
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
             k, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            return k, np.bincount(inverse, np.concatenate(counts)).astype(np.int64)
+            return k, np.bincount(inverse, np.concatenate(counts), len(k)).astype(np.int64)
 
         for batch in batches:
-            found = []
-            for raw in batch.column(0).to_pylist():
-                s = _with_start(raw)
+            for raw in batch.column(0):
+                s = _with_start(raw.as_py())
                 *_, at = tree.value.contexts(s, depth)
                 i = np.flatnonzero(at >= 0)
                 found.append((at[i] << 32) | s[1:][i])
-            k, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.int64),) * 2
-            keys.append(k)
-            counts.append(n)
-            held += len(k)
-            if held > 3_000_000:
-                k, n = merged()
-                keys, counts, held = [k], [n], len(k)
-                if held > 1_500_000:
-                    yield _longs(k, n)
-                    keys, counts, held = [], [], 0
-        if keys:
-            yield _longs(*merged())
+                size += len(i)
+                if size > COUNTED:
+                    sort_found()
+                    if sum(map(len, keys)) > 4 * COUNTED:
+                        k, n = merged()
+                        keys, counts = [k], [n]
+                        if len(k) > 2 * COUNTED:
+                            yield _longs(k, n)
+                            keys, counts = [], []
+        sort_found()
+        yield _longs(*merged())
 
     return run
 

@@ -65,7 +65,9 @@ def brute_tree(texts, n_symbols, depth, p_symbol, p_context, z):
     return kept, prob
 
 
-def test_tree_matches_brute_force(spark):
+@pytest.mark.parametrize("counted", [L.COUNTED, 40])
+def test_tree_matches_brute_force(spark, monkeypatch, counted):
+    monkeypatch.setattr(L, "COUNTED", counted)
     rng = np.random.default_rng(0)
     texts = []
     for _ in range(120):
