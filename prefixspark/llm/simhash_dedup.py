@@ -29,6 +29,8 @@ SEED, BITS = 42, 64
 #: Blocks at least, and fingerprints in a block at most unless that makes more blocks.
 BLOCKS, BLOCK_ROWS = 12, 200_000
 TILE = 512
+#: Partitions of the comparison at most; each then has several jobs.
+MOST_PARTITIONS = 20_000
 #: Texts of a candidate group that meet in one verification job, from each side.
 VERIFY_ROWS = 256
 
@@ -153,14 +155,20 @@ def link_fingerprints(fps: DataFrame, radius: int) -> DataFrame:
             blocks[-1].append((p, k))
             room -= n
     of = [(p, k, b) for b, members in enumerate(blocks) for p, k in members]
-    span = [(min(m)[0], max(m)[0]) for m in blocks]
-    jobs = [(i, j) for i in range(len(blocks)) for j in range(i, len(blocks)) if span[j][0] - span[i][1] <= radius]
-    goes = spark.createDataFrame([(b, n, b == j, i == j) for n, (i, j) in enumerate(jobs) for b in {i, j}], "b int, job int, right_side boolean, own boolean")
+    lo, hi = (np.array([f(m)[0] for m in blocks], np.int64) for f in (min, max))
+    n_jobs = int(np.triu(lo[None, :] - hi[:, None] <= radius).sum())
+    # the pairs of blocks are made where they are needed, not on the driver
+    n = max(1, len(blocks))
+    at = lambda values, i: F.get(F.lit(values), i) if values else F.lit(0)
+    pairs = spark.range(len(blocks) ** 2).select(F.col("id").alias("job"), F.floor(F.col("id") / n).cast("int").alias("i"), (F.col("id") % n).cast("int").alias("j"))
+    pairs = pairs.where((F.col("i") <= F.col("j")) & (at(lo.tolist(), F.col("j")) - at(hi.tolist(), F.col("i")) <= radius))
+    goes = pairs.select("job", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("b"))
+    goes = goes.select("b", "job", (F.col("b") == F.col("j")).alias("right_side"), (F.col("i") == F.col("j")).alias("own"))
     deal = spark.createDataFrame(of, "p int, k int, b int")
     deal = F.broadcast(deal) if len(of) <= BROADCAST_ROWS else deal
     cuts = F.broadcast(spark.createDataFrame([(p, k) for p, k in parts.items()], "p int, cuts int"))
     dealt = fps.join(cuts, "p").withColumn("k", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")).join(deal, ["p", "k"])
-    sent = dealt.join(F.broadcast(goes) if len(jobs) <= BROADCAST_ROWS else goes, "b").select("job", "node", "words", "right_side", "own")
+    sent = dealt.join(F.broadcast(goes) if 2 * n_jobs <= BROADCAST_ROWS else goes, "b").select("job", "node", "words", "right_side", "own")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         node, fp, side = pdf["node"].to_numpy(np.int64), np.stack(pdf["words"]).astype(np.int64).view(np.uint64), pdf["right_side"].to_numpy(bool)
@@ -169,15 +177,14 @@ def link_fingerprints(fps: DataFrame, radius: int) -> DataFrame:
         u, v = block_links(fp, None, radius) if pdf["own"].iloc[0] else block_links(fp[~side], fp[side], radius)
         return pd.DataFrame({"u": node[u], "v": node[v]})
 
-    return sent.groupBy("job").applyInPandas(compare, "u long, v long")
+    # a job is little data and much work: partitions by number are not coalesced
+    return sent.repartition(max(1, min(n_jobs, MOST_PARTITIONS)), "job").groupBy("job").applyInPandas(compare, "u long, v long")
 
 
 def shingle_set(text: str, shingle: int) -> tuple[bytes, np.ndarray]:
     """(the words, joined, and the hashes of its different shingles, sorted). Fewer words than a shingle are one."""
     words = text.encode().translate(_LOWER).split()
-    if not words:
-        return b"", np.empty(0, np.uint64)
-    parts = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
+    parts = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)] * bool(words)
     return b" ".join(words), np.unique(np.array([xxhash.xxh64_intdigest(x, SEED) for x in parts], np.uint64))
 
 
@@ -198,10 +205,9 @@ def _mark(shingle: int, words: int):
             keys, fps = [], []
             for text in batch.column(1).to_pylist():
                 joined, h = shingle_set(text, shingle)
-                keys.append(xxhash.xxh3_64_intdigest(joined) if joined else None)
-                fps.append(np.array(wide_fingerprint(h, words), np.uint64).view(np.int64) if joined else None)
-            signed = pa.array([None if k is None else k - (1 << 63) for k in keys], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), signed, pa.array(fps, pa.list_(pa.int64()))], names=["doc_id", "t", "node", "words"])
+                keys.append(xxhash.xxh3_64_intdigest(joined) - (1 << 63))
+                fps.append(np.array(wide_fingerprint(h, words), np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.int64()), pa.array(fps, pa.list_(pa.int64()))], names=["doc_id", "t", "node", "words"])
 
     return run
 
@@ -285,13 +291,13 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Candidates are fingerprints of ``words`` times 64 bits within ``radius``. At 0.8 two texts differ in 39 of 256 bits, 6 more
     or less, so 58 misses one in two thousand at the very bound; unrelated texts differ in 128, 8 more or less. Texts without
-    words (null, empty) have no shingles: each stays its own group. Rows that repeat are one group. Null ids never name a group,
+    words (null, empty) are equal, and so one group. Rows that repeat are one group. Null ids never name a group,
     and a text that only rows without an id have is not compared. An empty table gives an empty table. Other columns are not read.
     """
     text = text_of(text_col)
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t"))
     marked = materialise(picked.mapInArrow(_mark(shingle, words), "doc_id long, t long, node long, words array<long>"), "similar")
-    distinct = materialise(marked.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("words").alias("words")), "similar-distinct")
+    distinct = materialise(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("words").alias("words")), "similar-distinct")
     fps = materialise(distinct.groupBy("words").agg(F.min("node").alias("rep")), "similar-fingerprints")
     near = star_components(link_fingerprints(fps.select(F.col("rep").alias("node"), "words"), radius))
     labelled = fps.join(near, F.col("rep") == F.col("node"), "left").select("words", F.coalesce("label", "rep").alias("label"))
@@ -306,7 +312,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = distinct.select("node", "least").join(labels, "node", "left").select("node", "least", F.coalesce("group", "node").alias("group"))
     names = named.groupBy("group").agg(F.min("least").alias("component_id"))
     of = materialise(named.join(names, "group").select("node", "component_id"), "similar-groups")
-    return marked.join(of, "node", "left").select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return marked.join(of, "node").select("doc_id", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:

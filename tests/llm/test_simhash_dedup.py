@@ -86,13 +86,14 @@ def plain_groups(pairs, k=5, t=0.8):
 
     for i in range(len(pairs)):
         for j in range(i):
-            if pairs[i][0] is not None and pairs[j][0] is not None and sets[i] and sets[j] and root(i) != root(j) and len(sets[i] & sets[j]) >= t * len(sets[i] | sets[j]):
+            named = pairs[i][0] is not None and pairs[j][0] is not None and bool(sets[i] and sets[j])
+            if (named and len(sets[i] & sets[j]) >= t * len(sets[i] | sets[j])) or not (sets[i] or sets[j]):
                 label[max(root(i), root(j))] = min(root(i), root(j))
     least = {}
     for i, (doc_id, _) in enumerate(pairs):
-        if doc_id is not None and sets[i]:
+        if doc_id is not None:
             least[root(i)] = min(least.get(root(i), doc_id), doc_id)
-    return [least.get(root(i)) if sets[i] else d for i, (d, _) in enumerate(pairs)]
+    return [least.get(root(i)) for i in range(len(pairs))]
 
 
 def check_groups(docs, texts):
