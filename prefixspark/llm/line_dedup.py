@@ -19,9 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, text_of
+from .common import BROADCAST_ROWS, materialise, text_of
 
 MIN_WORDS = 8
+#: A line that starts so often, or more often in large tables, is hot.
+HOT_LINE = 1000
 
 
 def words_of(line: Column) -> Column:
@@ -105,10 +107,16 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     halves = F.when(F.size("words") >= min_words, _halves(F.col("words"))).otherwise(F.array().cast("array<long>"))
     lines = materialise(lines.select("doc_id", "t", "line_no", *line_hashes(F.col("words")), halves.alias("halves")), "lines")
     pos = F.struct("doc_id", "line_no", "t")
-    distinct = materialise(lines.groupBy("h1", "h2").agg(F.min(pos).alias("pos"), F.first("halves").alias("halves")), "lines-distinct")
+    distinct = materialise(lines.groupBy("h1", "h2").agg(F.min(pos).alias("pos"), F.first("halves").alias("halves"), F.count("*").alias("n")), "lines-distinct")
     near = near_lines(docs, distinct, id_col, text_col).withColumn("near", F.lit(True))
-    verdict = distinct.select("h1", "h2", "pos").join(near, ["h1", "h2"], "left").select("h1", "h2", "pos", F.coalesce("near", F.lit(False)).alias("near"))
-    judged = lines.select("doc_id", "t", "line_no", "h1", "h2").join(verdict, ["h1", "h2"])
+    verdict = distinct.select("h1", "h2", "pos", "n").join(near, ["h1", "h2"], "left").select("h1", "h2", "pos", "n", F.coalesce("near", F.lit(False)).alias("near"))
+    verdict = materialise(verdict.where("n > 1 OR near"), "lines-verdict")
+    rows = lines.select("doc_id", "t", "line_no", "h1", "h2")
+    # lines that start very often meet their verdict by broadcast: at most BROADCAST_ROWS lines can start that often
+    often = F.col("n") >= max(HOT_LINE, -(-lines.count() // BROADCAST_ROWS))
+    hot = F.broadcast(verdict.where(often))
+    usual = rows.join(hot.select("h1", "h2"), ["h1", "h2"], "left_anti").join(verdict.where(~often), ["h1", "h2"])
+    judged = rows.join(hot, ["h1", "h2"]).unionByName(usual)
     judged = judged.withColumn("equal", pos > F.col("pos")).where("equal OR near").select("doc_id", "t", "line_no", "near").distinct()
     return judged.groupBy("doc_id", "t").agg(F.count_if(~F.col("near")).alias("n_equal"), F.count_if("near").alias("n_near"), F.sort_array(F.collect_list("line_no")).alias("dropped"))
 

@@ -87,6 +87,11 @@ def test_edits_of_every_kind(spark, texts):
     assert sum(n for _, n, _ in want.values()) > 30
 
 
+def test_hot_lines_meet_their_verdict_by_broadcast(spark, small_docs, texts, monkeypatch):
+    monkeypatch.setattr(D, "HOT_LINE", 2)
+    check(small_docs, texts)
+
+
 def test_a_template_with_very_many_fillings(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("one two three four page "), "id", F.lit(" six seven eight nine ten")).alias("text"))
     rows = D.line_report(docs).agg(F.sum("n_near"), F.sum("n_equal")).first()
