@@ -30,7 +30,26 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.apply_rules(documents(spark, sf_dir))
+    return quality_rules.apply_rules(documents(spark, sf_dir)).withColumn("host_rate", F.round("host_rate", 6))
+
+
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, source AS host, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+windows AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i : i + 4]) AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM d)),
+repeated AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM windows, range(5) r(j) WHERE k > 1 GROUP BY doc_id),
+m AS (SELECT doc_id, host, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0)::BIGINT AS word_chars,
+        length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls, coalesce(r.n, 0) AS n_repeat_words
+      FROM d LEFT JOIN repeated r USING (doc_id)),
+f AS (SELECT doc_id, host, n_words, word_chars, n_symbols, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, n_repeat_words,
+        n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+        100 * n_symbols > 10 * word_chars OR 100 * (len(ls) - len(list_distinct(ls))) > 30 * len(ls) AS soft_failed FROM m),
+hosts AS (SELECT host, count(*) AS n, count(*) FILTER (base_failed OR soft_failed) AS bad FROM f GROUP BY host),
+moments AS (SELECT sum(bad) / sum(n) AS mean, var_pop(bad / n) AS var, avg(1 / n) AS noise FROM hosts),
+prior AS (SELECT mean, CASE WHEN var - mean * (1 - mean) * noise > 1e-9 THEN greatest(mean * (1 - mean) / (var - mean * (1 - mean) * noise) - 1, 1.0) ELSE 20.0 END AS weight FROM moments),
+rates AS (SELECT host, n + weight AS size, (bad + mean * weight) / (n + weight) AS rate FROM hosts, prior),
+verdicts AS (SELECT host, rate, rate - 1.64 * sqrt(rate * (1 - rate) / (size + 1)) > 0.5 AS host_bad FROM rates)
+SELECT f.*, round(v.rate, 6) AS host_rate, host_bad, NOT base_failed AND NOT (host_bad AND soft_failed) AS kept FROM f JOIN verdicts v ON f.host IS NOT DISTINCT FROM v.host
+"""
 
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,4 +131,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filter": OP7_SQL}
+    return {"op5_quality_rules": OP5_SQL, "op7_url_filter": OP7_SQL}

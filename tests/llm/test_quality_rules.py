@@ -1,8 +1,10 @@
 import re
 from collections import Counter
 
+import duckdb
 import pytest
 
+from prefixspark.llm import entries as E
 from prefixspark.llm import quality_rules as Q
 
 
@@ -52,5 +54,15 @@ def test_shuffled_way_agrees(spark, monkeypatch):
     assert sorted(map(tuple, Q.apply_rules(hosts(spark)).collect())) == one
 
 
+def test_sql_agrees(spark):
+    db = duckdb.connect()
+    db.sql("CREATE VIEW documents AS FROM '/root/testdata/sf0.01/documents.parquet'")
+    df = E.op5_quality_rules(spark, "/root/testdata/sf0.01")
+    columns = sorted(df.columns)
+    assert columns == sorted(db.sql(E.OP5_SQL).columns)
+    want = db.sql(f"SELECT {', '.join(columns)} FROM ({E.OP5_SQL})").fetchall()
+    assert sorted(map(tuple, df.select(*columns).collect()), key=str) == sorted(want, key=str)
+
+
 def test_empty_table(no_docs):
     assert Q.apply_rules(no_docs).count() == 0
