@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import InvalidNodeType, require
+from ..functions.bits import NODE_TYPES
 
 # Slab classes as (number, node type, slot bytes, slots in a chunk).
 SLAB_CLASSES = ((0, "Node4", 48, 83), (1, "Node16", 152, 26), (2, "Node64", 528, 7), (3, "Node256", 2064, 1))
@@ -28,10 +29,21 @@ def remaining(frontier: Column, capacity: int) -> Column:
     return F.greatest(F.lit(0), F.lit(capacity) - frontier)
 
 
+def in_bounds(offset: Column, size: Column, align: Column, frontier: Column) -> Column:
+    """Whether an access lies below the frontier and on its alignment."""
+    return (offset % align == 0) & (offset >= 0) & (offset + size <= frontier)
+
+
 def slab_classes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(SLAB_CLASSES, "class INT, node_type STRING, slot_size INT, slots INT").withColumn("chunk_size", F.col("slot_size") * F.col("slots"))
 
 
+def node_type_of(number: int) -> str:
+    """The node type of a number; 6 and above are not valid."""
+    require(0 <= number < len(NODE_TYPES), f"no node type {number}", InvalidNodeType)
+    return NODE_TYPES[number]
+
+
 def class_of(node_type: str) -> int:
     found = next((c for c, name, *_ in SLAB_CLASSES if name == node_type), None)
     require(found is not None, f"{node_type} has no slab class", InvalidNodeType)

@@ -36,6 +36,15 @@ def contention_rate(contended: Column, attempts: Column) -> Column:
     return F.when(attempts == 0, F.lit(0.0)).otherwise(contended * 100.0 / attempts)
 
 
+def storm_contention(ops: DataFrame) -> DataFrame:
+    """One row: attempts, contended (writes that meet another value than the one before them in their worker's view), rate. Serial
+    order has none by definition: each write sees what the one before left."""
+    seen = kv.history(ops)
+    met = F.col("previous").isNotNull() & (F.col("previous") != F.col("value"))
+    out = seen.agg(F.count("*").alias("attempts"), F.count_if(met).alias("contended"))
+    return out.withColumn("rate", contention_rate(F.col("contended"), F.col("attempts")))
+
+
 def crash_audit(frames: DataFrame, survivors: int) -> DataFrame:
     """The image after the log is cut behind its first transactions."""
     return wal.replay(wal.commit_order(frames).where(F.col("tx_id") < survivors), order="order")

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import CacheCapacityExceeded, InvalidParameter, require
@@ -18,6 +18,13 @@ from ..errors import CacheCapacityExceeded, InvalidParameter, require
 LEAST_CAPACITY, CELL, SLOT, CHUNK_SLOTS = 4096, 8, 48, 83
 
 
+def encode_key(tokens: Column) -> Column:
+    """The tokens as 32-bit little-endian numbers, joined."""
+    digits = lambda t: F.lpad(F.hex(t), 8, "0")
+    swapped = F.transform(tokens, lambda t: F.concat(*(F.substring(digits(t), i, 2) for i in (7, 5, 3, 1))))
+    return F.unhex(F.array_join(swapped, ""))
+
+
 def latest(inserts: DataFrame) -> DataFrame:
     """(tokens, kv_offset): each prefix's last insert by ``seq``."""
     return inserts.groupBy("tokens").agg(F.max_by("kv_offset", "seq").alias("kv_offset"))

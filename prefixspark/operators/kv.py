@@ -44,5 +44,11 @@ def longest_prefix(state: DataFrame, probes: DataFrame, probe: str = "query") ->
     return found.withColumn("matched_bytes", F.col("_best._k")).withColumn("value", F.col("_best.value")).drop("_q", "_best")
 
 
+def stats(state: DataFrame) -> DataFrame:
+    """One row: keys, their bytes, and the bytes of values out of line (2^56 and above)."""
+    out_of_line = F.when(F.col("value") >= F.lit(1 << 56), 8).otherwise(0)
+    return state.agg(F.count("*").alias("n_keys"), F.coalesce(F.sum(F.octet_length("key")), F.lit(0)).alias("key_bytes"), F.coalesce(F.sum(out_of_line), F.lit(0)).alias("slot_bytes"))
+
+
 def as_key(text: Column) -> Column:
     return F.encode(text, "UTF-8")

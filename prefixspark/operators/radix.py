@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bits import leaf_kind, nibbles, node_family
+from ..functions.bits import child_rank, leaf_kind, nibbles, node_family
 
 
 def key_nibbles(keys: DataFrame, key: str = "key") -> DataFrame:
@@ -27,6 +27,14 @@ def nodes(keys: DataFrame, key: str = "key") -> DataFrame:
     return grouped.select("depth", "path", "bitmap", n.alias("n_children"), node_family(n).alias("family"), "has_leaf")
 
 
+def lookup_child(nodes: DataFrame, probes: DataFrame) -> DataFrame:
+    """``probes`` (path, nibble) with ``rank`` (the child's place in its node) and ``child`` (its path); nulls if node or child is
+    missing."""
+    found = probes.join(nodes.select("path", "bitmap"), "path", "left").withColumn("rank", child_rank(F.col("bitmap"), F.col("nibble")))
+    child = F.concat("path", F.hex(F.col("nibble").cast("bigint")))
+    return found.withColumn("child", F.when(F.col("rank").isNotNull(), child)).drop("bitmap")
+
+
 def shape(keys: DataFrame, key: str = "key") -> DataFrame:
     """Nodes, children and leaves by depth and family."""
     return nodes(keys, key).groupBy("depth", "family").agg(F.count("*").alias("n_nodes"), F.sum("n_children").alias("n_children"), F.count_if("has_leaf").alias("n_leaves"))

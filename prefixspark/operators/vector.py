@@ -177,6 +177,13 @@ def train_codebook(indexed: DataFrame, dimension: int, m: int, rounds: int, seed
     return np.stack(train_kmeans(indexed, spaces, CODES, rounds, [seed + i + 1 for i in range(m)], vec_col))
 
 
+def codebook_of(flat: list[float] | np.ndarray, dimension: int, m: int) -> np.ndarray:
+    """A codebook from its numbers in the order sub-space, code, component; their count must fit."""
+    w = sub_spaces(dimension, m)[0].stop
+    require(len(flat) == m * CODES * w, f"{m * CODES * w} numbers make a codebook", VectorDimensionMismatch)
+    return np.asarray(flat, float).reshape(m, CODES, w)
+
+
 def encode(x: np.ndarray, codebook: np.ndarray) -> np.ndarray:
     """The nearest code in each sub-space."""
     m, _, w = codebook.shape

@@ -36,6 +36,11 @@ def encode_frame(opcode: Column, offset: Column, payload: Column) -> Column:
     return F.when(n <= MOST_PAYLOAD, body).otherwise(F.raise_error(F.lit("payload above the limit")).cast("binary"))
 
 
+def encoded_length(payload: Column) -> Column:
+    """A frame's declared length: its payload and ten bytes more."""
+    return F.octet_length(payload) + LENGTH_OVERHEAD
+
+
 def region_payload(length: Column) -> Column:
     """The payload of an allocation or a release: the region's length."""
     return _big_endian(length, 4)

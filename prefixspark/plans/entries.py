@@ -156,6 +156,20 @@ def leaf_kinds(spark, sf_dir):
     return radix.leaves(state).select("o_orderkey", "leaf")
 
 
+@query("SELECT count(*) AS n_keys, sum(octet_length(encode(user_id::VARCHAR)))::BIGINT AS key_bytes, 0 AS slot_bytes FROM (SELECT user_id FROM events GROUP BY user_id HAVING arg_max(event_type, event_id) <> 'error')")
+def kv_stats(spark, sf_dir):
+    return kv.stats(kv.current(_ops(spark, sf_dir)))
+
+
+@query(f"""WITH {_NODES.replace('bit_count(', '(', 1)}, probes AS (SELECT DISTINCT path, nib FROM nodes, range(16) t(nib) WHERE depth < 22)
+SELECT path, nib::INT AS nibble, CASE WHEN (n >> nib) & 1 = 1 THEN bit_count(n & ((1 << nib) - 1))::INT END AS rank, CASE WHEN (n >> nib) & 1 = 1 THEN path || substr('0123456789ABCDEF', nib + 1, 1) END AS child FROM probes JOIN nodes USING (path)""")
+def radix_lookup_child(spark, sf_dir):
+    """All sixteen children of each node above the digits."""
+    nodes = radix.nodes(table(spark, sf_dir, "customer").select(kv.as_key(F.col("c_name")).alias("key")).distinct())
+    probes = nodes.where("depth < 22").select("path", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("nibble"))
+    return radix.lookup_child(nodes, probes).select("path", "nibble", "rank", "child")
+
+
 # --- memory accounting
 
 
@@ -173,6 +187,12 @@ def slab_class_capacity(spark, sf_dir):
     return arena.slab_capacity(pools).select("s_suppkey", "class", "chunks", "n_slots")
 
 
+@query("""SELECT o_orderkey, o_custkey % 8 = 0 AND o_custkey + 48 <= 4096 AS ok FROM orders""")
+def access_bounds(spark, sf_dir):
+    ok = arena.in_bounds(F.col("o_custkey"), F.lit(48), F.lit(8), F.lit(4096))
+    return table(spark, sf_dir, "orders").select("o_orderkey", ok.alias("ok"))
+
+
 @query()
 def slab_replay(spark, sf_dir):
     """Slots handed out and taken back, by user; a delete gives back the slot of the same user's first chunk."""
@@ -395,6 +415,11 @@ _TOKENS = "tokens AS (SELECT conv_id, turn, list_transform(string_split(text, '
 _STORED = "stored AS (SELECT tokens[1:3 + turn] AS tokens, max(conv_id * 10 + turn + 1) AS kv_offset FROM tokens WHERE len(tokens) >= 3 + turn GROUP BY ALL)"
 
 
+@query(f"WITH {_TOKENS} SELECT conv_id, turn, array_to_string(list_transform(tokens, lambda t: printf('%02X%02X%02X%02X', t & 255, (t >> 8) & 255, (t >> 16) & 255, t >> 24)), '') AS key FROM tokens")
+def cache_token_keys(spark, sf_dir):
+    return _tokens(table(spark, sf_dir, "conversations")).select("conv_id", "turn", F.hex(cache.encode_key(F.col("tokens"))).alias("key"))
+
+
 def _stored(tokens: DataFrame) -> DataFrame:
     some = tokens.where(F.size("tokens") >= 3 + F.col("turn"))
     return cache.latest(some.select(F.slice("tokens", F.lit(1), (3 + F.col("turn")).cast("int")).alias("tokens"), (F.col("conv_id") * 10 + F.col("turn") + 1).alias("kv_offset"), (F.col("conv_id") * 10 + F.col("turn")).alias("seq")))
@@ -458,6 +483,12 @@ def wal_encode(spark, sf_dir):
     return _frames(spark, sf_dir).select("event_id", F.hex(wal.encode_frame(F.col("opcode"), F.col("offset"), F.col("payload"))).alias("frame"))
 
 
+@query(f"WITH {_FRAMES} SELECT log_id, count(*) AS n, sum(length(payload) // 2 + 10)::BIGINT AS declared, sum(length(payload) // 2 + 14)::BIGINT AS bytes FROM frames GROUP BY log_id")
+def wal_log_sizes(spark, sf_dir):
+    n = wal.encoded_length(F.col("payload"))
+    return _frames(spark, sf_dir).groupBy("log_id").agg(F.count("*").alias("n"), F.sum(n).alias("declared"), F.sum(n + 4).alias("bytes"))
+
+
 @query(f"WITH {_FRAMES} SELECT log_id, row_number() OVER (PARTITION BY log_id ORDER BY event_id) - 1 AS lsn, opcode::TINYINT AS opcode, off AS \"offset\", payload FROM frames")
 def wal_decode(spark, sf_dir):
     logs = wal.encode_logs(wal.commit_order(_frames(spark, sf_dir)))
@@ -533,6 +564,11 @@ def storm_audit(spark, sf_dir):
     return audit.storm_audit(spark, 4, 40_000, 1024)
 
 
+@query("SELECT 40000 AS attempts, 0 AS contended, 0.0::DOUBLE AS rate")
+def storm_contention(spark, sf_dir):
+    return audit.storm_contention(audit.storm_ops(spark, 4, 40_000, 1024))
+
+
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 97 = 0")
 def pressure_sample(spark, sf_dir):
     return audit.sample(table(spark, sf_dir, "orders"), "o_orderkey").select("o_orderkey", "o_custkey")
