@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,10 +16,12 @@ _written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where that is unset (tests on one machine)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where that is unset in local mode (tests)."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if at:
         return at.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "dir" not in _fallback:
         _fallback["dir"] = "file://" + tempfile.mkdtemp(prefix="prefixspark-")
     return _fallback["dir"]
