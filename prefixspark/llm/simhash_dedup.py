@@ -253,9 +253,11 @@ def set_links(sets: list[np.ndarray], n_left: int, similarity: float, step: int
 
 def verified_links(texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """Forest edges (u, v) of all pairs of one label in ``texts`` (node, label, text; each node once) of the similarity or more."""
-    sizes = texts.groupBy("label").agg(F.ceil(F.count("*") / VERIFY_ROWS).cast("int").alias("parts"))
+    large = texts.groupBy("label").agg(F.ceil(F.count("*") / VERIFY_ROWS).cast("int").alias("parts")).where("parts > 1")
+    large = materialise(large, "similar-large")
+    large = F.broadcast(large) if large.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else large
     sets = texts.select("node", "label", "text").mapInArrow(_sets(shingle), "node long, label long, shingles array<long>")
-    dealt = sets.join(sizes, "label").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    dealt = sets.join(large, "label", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     sent = dealt.select("node", "label", "shingles", "part", other.alias("other"))
     # groups of one part share tasks: a job is a group, or a pair of its parts
