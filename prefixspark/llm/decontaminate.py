@@ -6,6 +6,9 @@ the windows are n shingles long, at every word. A window can reach the similarit
 SimHash is looked up in radius + 1 blocks of bits of the items of that size; two fingerprints within the radius
 agree in one block at least, so none is missed. The candidate's weighted similarity (sum of least over sum of
 greatest shingle counts) is then computed exactly. An item shorter than a shingle is one shingle of its own length.
+
+A text of fewer shingles than the item is one window as a whole. It is compared exactly, without fingerprints, with all
+items that share shingles with it.
 """
 
 from __future__ import annotations
@@ -71,7 +74,7 @@ class Benchmark:
         self.radius, self.similarity, seen = radius, similarity, _Words()
         self.edges = block_edges(radius)
         self.classes: dict[tuple[int, int], list[tuple[int, Counter, int]]] = defaultdict(list)
-        owners: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
+        owners: dict[int, dict[int, set[tuple[int, int]]]] = defaultdict(lambda: defaultdict(set))
         for item_id, text in items:
             words = word_hashes(text or "", seen)
             if not len(words):
@@ -80,15 +83,17 @@ class Benchmark:
             h = shingles(words, k)
             self.classes[k, len(h)].append((item_id, Counter(h.tolist()), bit_majority(h)))
             for x in h.tolist():
-                owners[k][x].add(len(h))
+                owners[k][x].add((len(h), len(self.classes[k, len(h)]) - 1))
         self.fps = {c: np.array([fp for *_, fp in m], np.uint64) for c, m in self.classes.items()}
         self.index = {c: [self._sorted(fps, *e) for e in self.edges] for c, fps in self.fps.items()}
         self.sets = {}  # by shingle length: sorted hashes, sizes of the items that have them, a bit table of 2^20 places
+        self.holders = {}  # by shingle length, for each of the sorted hashes: (size, place in its class) of the items that have it
         for k, of in owners.items():
             keys = np.array(sorted(of), np.uint64)
             table = np.zeros(1 << 20, bool)
             table[(keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-            self.sets[k] = keys, [sorted(of[x]) for x in keys.tolist()], table
+            self.sets[k] = keys, [sorted({n for n, _ in of[x]}) for x in keys.tolist()], table
+            self.holders[k] = [sorted(of[x]) for x in keys.tolist()]
 
     @staticmethod
     def _sorted(fps: np.ndarray, shift: int, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,6 +115,18 @@ class Benchmark:
                 out.update(zip(w[on].tolist(), item[on].tolist(), strict=True))
         return out
 
+    def whole(self, k: int, h: np.ndarray, places: list[int]) -> Iterator[tuple[int, int, float]]:
+        """(size, place in its class, similarity) of the items of more shingles than the text, from all shingles ``h`` of the text
+        and the places of those that the benchmark has."""
+        mine, keys, shared = Counter(h.tolist()), self.sets[k][0], Counter()
+        for p in places:
+            x = int(keys[p])
+            for n, i in self.holders[k][p]:
+                if len(h) < n:
+                    shared[n, i] += min(mine[x], self.classes[k, n][i][1][x])
+        for (n, i), both in sorted(shared.items()):
+            yield n, i, both / (len(h) + n - both)
+
     def matches(self, words: np.ndarray) -> dict[int, tuple[float, int, int]]:
         """item_id: (similarity, first word, words) of the best window, the first of equals."""
         best: dict[int, tuple[float, int, int]] = {}
@@ -126,7 +143,14 @@ class Benchmark:
             hit = np.zeros(len(h) + 1, np.int64)
             hit[maybe + 1] = 1
             hit = np.cumsum(hit)
-            for n in {s for p in np.unique(place).tolist() for s in sizes[p]}:
+            places = np.unique(place).tolist()
+            # an item of one shingle more needs the fewest shared
+            if len(maybe) >= math.ceil((2 * len(h) + 1) * self.similarity / (1 + self.similarity) - 1e-9):
+                for n, i, s in self.whole(k, h, places):
+                    item_id = self.classes[k, n][i][0]
+                    if s >= self.similarity and (item_id not in best or s > best[item_id][0]):
+                        best[item_id] = s, 0, len(words)
+            for n in {s for p in places for s in sizes[p]}:
                 if n > len(h):
                     continue
                 least = math.ceil(2 * n * self.similarity / (1 + self.similarity) - 1e-9)
@@ -177,7 +201,7 @@ def _search(sent):
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", radius: int = 20, similarity: float = 0.8) -> DataFrame:
     """A row for each (document, item) with a window of the similarity or more: doc_id, item_id, similarity, first_word,
-    n_words of the best window.
+    n_words of the best window. A text shorter than the item is one window.
 
     At a similarity of 0.8 two fingerprints differ in 10 of 64 bits, 3 more or less, so a radius of 20 misses one window in five
     thousand at the very bound.

@@ -73,3 +73,37 @@ def test_item_blocks_and_empty_tables(spark, small_docs, no_docs, monkeypatch):
     assert sorted(map(tuple, D.find_leaks(small_docs, bench).collect())) == one
     assert D.find_leaks(no_docs, bench).count() == 0
     assert D.find_leaks(small_docs, bench.limit(0)).count() == 0
+
+
+def test_texts_shorter_than_the_item(spark):
+    rng = random.Random(4)
+    items = [(i, " ".join(f"w{rng.randrange(400)}" for _ in range(n))) for i, n in enumerate((60, 60, 60, 24, 12, 9, 6, 5, 3))]
+    items += [(9, "again and again and " * 12), (3, items[4][1] + " one more")]  # shingles that repeat, and an id of two texts
+    rows = [(1, " ".join(items[0][1].split()[:55]))]  # 51 of 56 shingles
+    for i, (_, item) in enumerate(items):
+        words = item.split()
+        for cut in range(min(len(words), 16)):
+            a = rng.randint(0, cut)
+            part = words[a : len(words) - cut + a]
+            rows.append((100 + 20 * i + cut, " ".join(part)))
+            part = list(part)
+            part[rng.randrange(len(part))] = "edited"
+            rows.append((1000 + 20 * i + cut, " ".join(part)))
+    want = {}
+    for doc_id, text in rows:
+        words = text.split()
+        for item_id, item in items:
+            iw = item.split()
+            k = min(5, len(iw))
+            b = Counter(tuple(iw[j : j + k]) for j in range(len(iw) - k + 1))
+            mine = [tuple(words[j : j + k]) for j in range(len(words) - k + 1)]
+            if 0 < len(mine) < b.total() and (s := D.weighted_similarity(Counter(mine), b)) >= 0.8:
+                want[doc_id, item_id] = max(want.get((doc_id, item_id), (0.0, 0, 0)), (round(s, 9), 0, len(words)))
+    found = D.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    n_words = {i: len(t.split()) for i, t in rows}
+    got = {(r["doc_id"], r["item_id"]): (round(r["similarity"], 9), r["first_word"], r["n_words"]) for r in found}
+    assert len(want) > 30 and want[1, 0] == (round(51 / 56, 9), 0, 55)
+    assert {key: got.get(key) for key in want} == want
+    # all other rows are windows of an item's own size
+    own = {(i, len(t.split())) for i, t in items}
+    assert all((item_id, n) in own and n <= n_words[doc_id] for (doc_id, item_id), (_, _, n) in got.items() if (doc_id, item_id) not in want)
