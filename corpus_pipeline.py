@@ -1,8 +1,8 @@
 """The corpus pipeline: quality rules, line dedup, SimHash near-dedup, benchmark decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
-next stage's docs. All but the last return the columns of documents; the last returns packed pieces. A row whose
-doc_id is null cannot be named by a verdict: it stays.
+next stage's docs. All but the last return the columns of documents; the last returns packed pieces. Verdicts are on
+rows, by a key that each filtering stage gives them: doc_ids may be null or repeat.
 """
 
 from __future__ import annotations
@@ -17,13 +17,23 @@ from prefixspark.llm.common import documents, drop_scratch, materialise, scratch
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    return docs.join(rejected.select(F.col("doc_id").alias("_rejected")).dropna().distinct(), F.col("doc_id") == F.col("_rejected"), "left_anti")
+ROW = "_row_key"
+
+
+def _keyed(docs: DataFrame, stage: str) -> DataFrame:
+    """``docs`` with a key of its own for each row, written so that the operator and the join that follows it see the same keys."""
+    return materialise(docs.withColumn(ROW, F.monotonically_increasing_id()), f"keyed-{stage}")
+
+
+def _without(keyed: DataFrame, rejected: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` that ``rejected`` does not name (its doc_id is the row key)."""
+    return keyed.join(rejected.select(F.col("doc_id").alias(ROW)).distinct(), ROW, "left_anti").drop(ROW)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    return _without(docs, quality_rules.apply_rules(docs).where("NOT kept"))
+    keyed = _keyed(docs, "quality")
+    return _without(keyed, quality_rules.apply_rules(keyed, id_col=ROW).where("NOT kept")).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,13 +42,19 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts with similar sets of five-word shingles (0.8 or more) the document of the least id stays."""
-    return _without(docs, simhash_dedup.similar_groups(docs).where("doc_id <> component_id"))
+    """Of each group of texts with similar sets of five-word shingles (0.8 or more) one row stays: of the least id, null ids last,
+    and of rows that share it the first."""
+    keyed = _keyed(docs, "near-duplicates")
+    groups = simhash_dedup.similar_groups(keyed, id_col=ROW).select(F.col("doc_id").alias(ROW), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", ROW)
+    stays = keyed.select("doc_id", ROW).join(groups, ROW).groupBy("component_id").agg(F.min(order).alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
+    return keyed.join(stays, ROW, "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
-    return _without(docs, decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    keyed = _keyed(docs, "decontamination")
+    return _without(keyed, decontaminate.find_leaks(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=ROW)).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
