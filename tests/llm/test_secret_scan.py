@@ -76,3 +76,31 @@ def test_planted_random_strings_are_added(spark):
 
 def test_empty_table(no_docs):
     assert S.scan_secrets(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("symbols", [S._LOW, S._UP, S._LOW + S._UP], ids=["lower", "upper", "letters"])
+def test_long_random_strings_of_one_class_are_told_apart(symbols):
+    rng = random.Random(6)
+    p = {n: sorted(S.battery("".join(rng.choices(symbols, k=n)))[1] for _ in range(200)) for n in (40, 64, 200)}
+    assert p[40][100] < 0.05 and p[64][100] < 0.01 and p[200][180] < 1e-4
+
+
+def test_glued_words_are_not():
+    rng = random.Random(7)
+    words = re.findall("[a-z]+", (S.__doc__ + re.__doc__ + random.__doc__).lower())
+    for n in (20, 64, 200):
+        glued = []
+        for _ in range(300):
+            a = rng.randrange(len(words) - 150)
+            glued.append(words[a : a + 150])
+        for form in (lambda w: "".join(w), lambda w: "".join(w).upper(), lambda w: "".join(map(str.capitalize, w))):
+            assert sum(S.battery(form(w)[:n])[1] < 1e-3 for w in glued) <= 3
+
+
+def test_keys_of_one_class_are_reported_and_digits_do_not_count(spark):
+    rng = random.Random(8)
+    keys = ["".join(rng.choices(symbols, k=200)) for symbols in (S._LOW, S._UP, S._LOW + S._UP, S._DIG)]
+    rows = [(i, f"x {k} y") for i, k in enumerate(keys)] + [(10 + i, f"{rng.randrange(10**22):022d}") for i in range(300)] + [(400, "thelettersofthesewordsareglued")]
+    got = {r["doc_id"]: r["spans"] for r in S.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: v for i, v in got.items() if v} == {0: "random:2:202", 1: "random:2:202", 2: "random:2:202", 3: "hex:2:202"}
+    assert S.candidates("1" * 10 + "23" * 6, [])[0]["weight"] == 0
