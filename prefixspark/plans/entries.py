@@ -170,6 +170,15 @@ def radix_lookup_child(spark, sf_dir):
     return radix.lookup_child(nodes, probes).select("path", "nibble", "rank", "child")
 
 
+@query(f"""WITH {_NODES.replace('bit_count(', '(', 1)}
+SELECT path, nib::INT AS nibble, CASE WHEN (n >> nib) & 1 = 1 THEN bit_count(n & ((1 << nib) - 1))::INT END AS rank, CASE WHEN (n >> nib) & 1 = 1 THEN path || substr('0123456789ABCDEF', nib + 1, 1) END AS child FROM nodes, range(16) t(nib)""")
+def radix_lookup_every_child(spark, sf_dir):
+    """All sixteen children of each node of all depths, branching nodes and leaves too."""
+    nodes = radix.nodes(table(spark, sf_dir, "customer").select(kv.as_key(F.col("c_name")).alias("key")).distinct())
+    probes = nodes.select("path", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("nibble"))
+    return radix.lookup_child(nodes, probes).select("path", "nibble", "rank", "child")
+
+
 # --- memory accounting
 
 

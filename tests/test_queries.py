@@ -57,3 +57,15 @@ def test_prefix_match_is_an_equi_join(spark):
 def test_state_has_partial_aggregation(spark):
     plan = entries.kv_upsert_current(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("partial_max_by") >= 1 and plan.count("Exchange") == 1
+
+
+def test_children_of_every_node_match_brute_force(spark):
+    keys = {r["c_name"].encode().hex().upper() for r in spark.read.parquet(f"{SF}/customer.parquet").collect()}
+    children = {}
+    for h in keys:
+        for d in range(len(h) + 1):
+            children.setdefault(h[:d], set()).update(h[d : d + 1])
+    want = {(p, i): (sorted(c).index(x), p + x) if (x := "0123456789ABCDEF"[i]) in c else (None, None) for p, c in children.items() for i in range(16)}
+    rows = entries.QUERIES["radix_lookup_every_child"](spark, SF).collect()
+    assert len(rows) == len(want) and {(r["path"], r["nibble"]): (r["rank"], r["child"]) for r in rows} == want
+    assert max(r["rank"] for r in rows if r["rank"] is not None) == 9 and any(not c for c in children.values())
