@@ -459,10 +459,11 @@ def cache_clock_batch(spark, sf_dir):
 
 
 def cache_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as operations on sixteen caches: even turns insert, odd ones match, the eighth sweeps."""
+    """Conversations as operations on sixteen caches: even turns insert their first 3 + turn tokens, odd ones match with all of
+    theirs, the eighth sweeps."""
     t = _tokens(table(spark, sf_dir, "conversations"))
     op = F.when(F.col("turn") % 8 == 7, "sweep").when(F.col("turn") % 2 == 0, "insert").otherwise("match")
-    key = F.slice("tokens", 1, 4)
+    key = F.when(op == "insert", F.slice("tokens", F.lit(1), 3 + F.col("turn"))).otherwise(F.col("tokens"))
     return t.select((F.col("conv_id") % 16).alias("cache_id"), (F.col("conv_id") * 10 + F.col("turn")).alias("seq"), op.alias("op"), key.alias("tokens"), (F.col("conv_id") * 10 + F.col("turn") + 1).alias("kv_offset"), F.lit(512).alias("steps"))
 
 

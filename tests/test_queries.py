@@ -69,3 +69,13 @@ def test_children_of_every_node_match_brute_force(spark):
     rows = entries.QUERIES["radix_lookup_every_child"](spark, SF).collect()
     assert len(rows) == len(want) and {(r["path"], r["nibble"]): (r["rank"], r["child"]) for r in rows} == want
     assert max(r["rank"] for r in rows if r["rank"] is not None) == 9 and any(not c for c in children.values())
+
+
+def test_cache_replay_probes_with_whole_texts(spark):
+    turns = {(r["conv_id"], r["turn"]): r["text"].split(" ") for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()}
+    ops = {r["seq"]: r for r in entries.cache_ops(spark, SF).collect()}
+    assert all(len(ops[i * 10 + t]["tokens"]) == (min(3 + t, len(w)) if t % 2 == 0 else len(w)) for (i, t), w in turns.items())
+    assert len({len(w) for (_, t), w in turns.items() if t % 2 and t % 8 != 7}) > 1 < max(len(w) for w in turns.values()) / 4
+    rows = entries.QUERIES["cache_replay"](spark, SF).collect()
+    assert {r["seq"] for r in rows} == set(ops)
+    assert all(r["token_len"] <= len(ops[r["seq"]]["tokens"]) for r in rows if r["token_len"])
