@@ -40,15 +40,24 @@ def scratch_mark() -> int:
     return len(_written)
 
 
-def drop_scratch(spark: SparkSession, since: int = 0, keep: str = "") -> None:
-    """Delete the tables written since a mark, but those of the name ``keep``. Results that still read them are lost, so it is
-    for callers that have written theirs."""
-    for path in [p for p in _written[since:] if not keep or f"/{keep}-" not in p]:
+def drop_scratch(spark: SparkSession, since: int = 0, keep: str | tuple[str, ...] = ()) -> None:
+    """Delete the tables written since a mark, but those of the names ``keep``. Operators so drop what their result doesn't read;
+    what it reads belongs to the caller, who drops it when the result is written."""
+    names = (keep,) if isinstance(keep, str) else keep
+    for path in [p for p in _written[since:] if not any(re.search(rf"/{re.escape(n)}-[0-9a-f]{{32}}$", p) for n in names)]:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
         _written.remove(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until ``df`` has no such column (names differ by more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_of(column: str) -> Column:
     """A text column with null as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
