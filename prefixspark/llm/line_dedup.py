@@ -1,17 +1,20 @@
 """Line dedup by a deletion-neighbourhood join. DataFrame functions only.
 
-Lines are compared as words (lower case, split at white space). Two lines are equal if their words are, and near if
-one insertion, deletion or substitution of a word turns one into the other and both have ``min_words`` or more. A line goes if an equal or near line starts earlier in the corpus (by doc_id, then line number); lines without
-words stay. Near duplicates are found in these steps:
+Lines are compared as words (lower case, split at white space). Two lines are equal if their words are. They are near if
+one insertion, deletion or substitution of a unit turns one into the other. A line of ``min_words`` words or more has its
+words as units; a shorter one of ``min_chars`` characters or more (words joined by a space) has its characters; two lines of
+different units are not near. Shorter lines still match if equal. A line goes if an equal or near line starts earlier in the
+corpus (by doc_id, then line number); lines without words stay. Near duplicates are found in these steps:
 
 1. lines become hashes; equal ones are summed, the earliest kept;
-2. a near pair shares the first or the last n // 2 words of its shorter line, so only lines that share such a half
+2. a near pair shares the first or the last n // 2 units of its shorter line, so only lines that share such a half
    go on (nothing is lost);
-3. each emits its words' hash and, for every place, the hash without that word; these are exclusive-or sums of
-   hashes of (word, place), so a window function yields all of a line's variants in one sorted run;
+3. each emits its units' hash and, for every place, the hash without that unit; these are exclusive-or sums of
+   hashes of (unit, place), so a window function yields all of a line's variants in one sorted run;
 4. equal variants are joined: two lines that are equal without the same place differ by a substitution there; a line that equals
-   another's variant lacks one word of it. Groups are summed to their earliest member, never paired out;
-5. the earliest partner's edit distance is verified on the words themselves.
+   another's variant lacks one unit of it. Groups are summed to their earliest member, never paired out;
+5. the earliest partner's edit distance is verified on the units themselves. Where hashes collided, it fails; the line then
+   meets every earlier line of its variants, each verified.
 """
 
 from __future__ import annotations
@@ -19,9 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialise, text_of
+from .common import BROADCAST_ROWS, drop_scratch, free_name, materialise, scratch_mark, text_of
 
 MIN_WORDS = 8
+#: One character in so many: "page 1" and "page 2" are different lines.
+MIN_CHARS = 24
 #: A line that starts so often, or more often in large tables, is hot.
 HOT_LINE = 1000
 
@@ -38,6 +43,14 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return whole.select("doc_id", "t", F.posexplode("lines").alias("line_no", "line")).where(F.col("line").rlike(r"[^ \t\x0B\f\r]"))
 
 
+def units_of(words: Column, min_words: int, min_chars: int) -> Column:
+    """What an edit changes: the words, or the characters of a line of few words behind two marks that no word equals (so that
+    it is two edits from any words), or nothing where a line matches only if equal."""
+    joined = F.array_join(words, " ")
+    letters = F.concat(F.array(F.lit("\n"), F.lit("\n")), F.filter(F.split(joined, ""), lambda c: c != ""))
+    return F.when(F.size(words) >= min_words, words).when(F.length(joined) >= min_chars, letters).otherwise(F.array().cast("array<string>"))
+
+
 def line_hashes(words: Column) -> list[Column]:
     return [F.xxhash64(words).alias("h1"), F.xxhash64(F.lit(3), words).alias("h2")]
 
@@ -50,6 +63,20 @@ def _halves(words: Column) -> Column:
     return F.array_distinct(F.array(*keys))
 
 
+def _letter_halves(words: Column) -> Column:
+    """The same of the characters of a line of few words."""
+    text = F.array_join(words, " ")
+    n = F.length(text)
+    a, b = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
+    keys = [F.xxhash64(F.lit(side), F.substring(text, F.lit(1) if side == 2 else n - k + 1, k)) for k in (a, b) for side in (2, 3)]
+    return F.array_distinct(F.array(*keys))
+
+
+def halves_of(words: Column, min_words: int, min_chars: int) -> Column:
+    letters = F.when(F.length(F.array_join(words, " ")) >= min_chars, _letter_halves(words)).otherwise(F.array().cast("array<long>"))
+    return F.when(F.size(words) >= min_words, _halves(words)).otherwise(letters)
+
+
 def one_word_apart(x: Column, y: Column) -> Column:
     """Word edit distance of two arrays is at most one."""
     n, m = F.size(x), F.size(y)
@@ -60,7 +87,7 @@ def one_word_apart(x: Column, y: Column) -> Column:
     return (F.abs(n - m) <= 1) & (ahead + behind >= F.greatest(n, m) - 1)
 
 
-def near_lines(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def near_lines(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, min_words: int, min_chars: int) -> DataFrame:
     """(h1, h2) of distinct lines with an earlier near line. ``distinct``: h1, h2, pos (doc_id, line_no, t), halves."""
     halves = distinct.where(F.size("halves") > 0).select("h1", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a != b").select("half")
@@ -74,7 +101,8 @@ def near_lines(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str)
     picked = F.transform("wanted", lambda w: F.struct(w["h1"].alias("h1"), w["h2"].alias("h2"), w["line_no"].alias("line_no"), F.get("lines", w["line_no"]).alias("line")))
     met = met.select("doc_id", "t", F.when(F.size("lines") > 0, picked).alias("picked")).select("doc_id", "t", F.explode("picked").alias("l"))
     met = met.select("l.h1", "l.h2", F.struct("doc_id", "l.line_no", "t").alias("pos"), words_of(F.col("l.line")).alias("words"))
-    lines = materialise(met.dropDuplicates(["h1", "h2"]), "line-words")
+    met = met.dropDuplicates(["h1", "h2"])
+    lines = materialise(met.select("h1", "h2", "pos", units_of(F.col("words"), min_words, min_chars).alias("words")), "line-words")
 
     # from here to the verification a line is its first hash
     exploded = lines.select("h1", "words").repartition("h1").select("h1", F.posexplode("words").alias("i", "word"))
@@ -97,18 +125,26 @@ def near_lines(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str)
     found = found.unionByName(met.where("i < 0").join(lacking, "key").select("pos", "partner"))
     pairs = found.where(F.col("partner") < F.col("pos")).groupBy("pos").agg(F.min("partner").alias("partner"))
     theirs = lines.select(F.col("pos").alias("partner"), F.col("words").alias("other"))
-    return pairs.join(lines, "pos").join(theirs, "partner").where(one_word_apart(F.col("words"), F.col("other"))).select("h1", "h2")
-
-
-def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    judge = lambda p: p.join(lines, "pos").join(theirs, "partner").withColumn("ok", one_word_apart(F.col("words"), F.col("other")))
+    judged = materialise(judge(pairs).select("pos", "h1", "h2", "ok"), "line-judged")
+    failed = judged.where("NOT ok").select("pos")
+    out = judged.where("ok").select("h1", "h2")
+    if failed.isEmpty():
+        return out
+    # keys collided: those lines meet all earlier lines of their keys
+    mine = met.join(failed, "pos").select("key", "pos")
+    every = mine.join(met.select("key", F.col("pos").alias("partner")), "key").where("partner < pos").select("pos", "partner").distinct()
+    return out.unionByName(judge(every).where("ok").select("h1", "h2").distinct())
+
+
+def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, t, n_equal, n_near, dropped): for each text with lines that go, how many and their numbers from 0. ``t`` is the
     text's xxhash64, so rows that share an id but not a text stay apart."""
     lines = lines_of(docs, id_col, text_col).select("doc_id", "t", "line_no", words_of(F.col("line")).alias("words"))
-    halves = F.when(F.size("words") >= min_words, _halves(F.col("words"))).otherwise(F.array().cast("array<long>"))
-    lines = materialise(lines.select("doc_id", "t", "line_no", *line_hashes(F.col("words")), halves.alias("halves")), "lines")
+    lines = materialise(lines.select("doc_id", "t", "line_no", *line_hashes(F.col("words")), halves_of(F.col("words"), min_words, min_chars).alias("halves")), "lines")
     pos = F.struct("doc_id", "line_no", "t")
     distinct = materialise(lines.groupBy("h1", "h2").agg(F.min(pos).alias("pos"), F.first("halves").alias("halves"), F.count("*").alias("n")), "lines-distinct")
-    near = near_lines(docs, distinct, id_col, text_col).withColumn("near", F.lit(True))
+    near = near_lines(docs, distinct, id_col, text_col, min_words, min_chars).withColumn("near", F.lit(True))
     verdict = distinct.select("h1", "h2", "pos", "n").join(near, ["h1", "h2"], "left").select("h1", "h2", "pos", "n", F.coalesce("near", F.lit(False)).alias("near"))
     verdict = materialise(verdict.where("n > 1 OR near"), "lines-verdict")
     rows = lines.select("doc_id", "t", "line_no", "h1", "h2")
@@ -121,19 +157,23 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return judged.groupBy("doc_id", "t").agg(F.count_if(~F.col("near")).alias("n_equal"), F.count_if("near").alias("n_near"), F.sort_array(F.collect_list("line_no")).alias("dropped"))
 
 
-def _with_dropped(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    f = found.select(F.col("doc_id").alias("_d_id"), F.col("t").alias("_d_t"), F.struct("n_equal", "n_near", "dropped").alias("_dropped"))
-    return docs.join(f, (F.xxhash64(text_of(text_col)) == F.col("_d_t")) & F.col(id_col).cast("long").eqNullSafe(F.col("_d_id")), "left").drop("_d_id", "_d_t")
+def _found(docs: DataFrame, id_col: str, text_col: str, min_words: int, min_chars: int) -> DataFrame:
+    """``duplicate_lines`` as a table; its own scratch tables go."""
+    since = scratch_mark()
+    found = materialise(duplicate_lines(docs, id_col, text_col, min_words, min_chars), "lines-dropped")
+    drop_scratch(docs.sparkSession, since, keep="lines-dropped")
+    return found
 
 
-def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS) -> DataFrame:
     """One row per input row: doc_id, n_lines, n_equal, n_near, n_kept, dropped (line numbers).
 
-    Null texts count as empty: one line without words, which stays. Rows that repeat a document (id and text) are one
-    document: equal places keep equal lines. Null ids come before all others. An empty table gives an empty table.
-    Other columns are not read.
+    Null texts count as empty: one line without words, which stays. Very long texts and lines are compared whole. Rows that
+    repeat a document (id and text) are one document: equal places keep equal lines. Ties between texts of one id and line
+    number go by the text's hash. Null ids come before all others. An empty table gives an empty table. Other columns are
+    not read.
     """
-    found = materialise(duplicate_lines(docs, id_col, text_col, min_words), "lines-dropped")
+    found = _found(docs, id_col, text_col, min_words, min_chars)
     text = text_of(text_col)
     each = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), F.size(F.split(text, "\n", -1)).cast("long").alias("n_lines"))
     f = found.select(F.col("doc_id").alias("d"), F.col("t").alias("d_t"), "n_equal", "n_near", "dropped")
@@ -142,12 +182,16 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return joined.select("doc_id", "n_lines", n_equal.alias("n_equal"), n_near.alias("n_near"), (F.col("n_lines") - n_equal - n_near).alias("n_kept"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with the duplicate lines cut from its text column; all other columns and all rows stay. Texts that lose nothing
-    stay as they are (nulls too)."""
-    found = materialise(duplicate_lines(docs, id_col, text_col, min_words), "lines-dropped")
-    # two uses of _lines keep its split out of the lambda
-    joined = _with_dropped(docs, found, id_col, text_col).withColumn("_lines", F.split(text_of(text_col), "\n", -1))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_dropped.dropped"))
-    cut = F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n")
-    return joined.withColumn(text_col, F.when(F.col("_dropped").isNull(), F.col(text_col)).otherwise(cut)).select(*docs.columns)
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``docs`` with the duplicate lines cut from its text column; all other columns and all rows stay, whatever their names.
+    Texts that lose nothing stay as they are (nulls too); one that loses all its lines becomes empty. Repeated rows, ties, null
+    ids and long texts: as in ``line_report``. An empty table gives an empty table."""
+    found = _found(docs, id_col, text_col, min_words, min_chars)
+    d_id, d_t, dropped, lines = (free_name(docs, n) for n in ("d_id", "d_t", "dropped", "lines"))
+    f = found.select(F.col("doc_id").alias(d_id), F.col("t").alias(d_t), F.col("dropped").alias(dropped))
+    joined = docs.join(f, (F.xxhash64(text_of(text_col)) == F.col(d_t)) & F.col(id_col).cast("long").eqNullSafe(F.col(d_id)), "left")
+    # two uses of the lines keep their split out of the lambda
+    joined = joined.withColumn(lines, F.split(text_of(text_col), "\n", -1))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(dropped))
+    cut = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+    return joined.withColumn(text_col, F.when(F.col(dropped).isNull(), F.col(text_col)).otherwise(cut)).select(*(F.col(f"`{c}`") for c in docs.columns))

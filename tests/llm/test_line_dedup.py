@@ -21,7 +21,13 @@ def near(x, y):
     return x[i:] == y[i + 1 :]
 
 
-def plain(rows, least=D.MIN_WORDS):
+def units(w, least, chars):
+    """Words, or a short line's characters behind two marks."""
+    joined = " ".join(w)
+    return w if len(w) >= least else ("\n", "\n", *joined) if len(joined) >= chars else ()
+
+
+def plain(rows, least=D.MIN_WORDS, chars=D.MIN_CHARS):
     """Dropped (equal, near) line numbers by distinct (doc_id, text); rows: (doc_id, text)."""
     first = {}
     docs = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0))
@@ -32,9 +38,9 @@ def plain(rows, least=D.MIN_WORDS):
                 first[w] = min(first[w], (i is not None, i or 0, k))
     by_size = defaultdict(list)
     for w in first:
-        if len(w) >= least:
-            by_size[len(w)].append(w)
-    gone = {w for n, ws in by_size.items() for w in ws if any(first[v] < first[w] and near(w, v) for m in (n - 1, n, n + 1) for v in by_size.get(m, ()))}
+        if u := units(w, least, chars):
+            by_size[len(u)].append((w, u))
+    gone = {w for n, ws in by_size.items() for w, u in ws if any(first[v] < first[w] and near(u, x) for m in (n - 1, n, n + 1) for v, x in by_size.get(m, ()))}
     out = {}
     for i, t in docs:
         equal, nearly = [], []
@@ -104,6 +110,43 @@ def test_one_word_apart(spark, x, y, want):
     assert (row["v"], row["w"]) == (want, want)
 
 
+def test_short_lines_by_characters(spark, texts):
+    rng = random.Random(12)
+    base = ["all content copyright of its owner", "Subscribe to our newsletter today!", "the quick brown fox jumped over", "abcdefghijklmnopqrstuvwxyz", "page 12", "one two three four five six se7en"]
+    rows = []
+    for i in range(80):
+        lines = []
+        for _ in range(4):
+            c = list(rng.choice(base))
+            for _ in range(rng.choice([0, 1, 1, 2])):
+                k = rng.randrange(len(c))
+                c[k : k + rng.choice([0, 1, 1])] = rng.choice([[], ["x"], ["é"], ["\U0001f600"]])
+            lines.append("".join(c))
+        rows.append((i, "\n".join(lines)))
+    rows += [(200, " ".join("abcdefghijklmnopqrstuvwxyz")), (201, "page 13")]  # the same units but for the marks; too short
+    want = check(spark.createDataFrame(rows, "doc_id long, text string"), texts)
+    assert sum(n for _, n, _ in want.values()) > 30 and want[200, rows[-2][1]][1] == 0
+
+
+def test_a_collision_hides_no_true_partner(spark, monkeypatch):
+    """All hashes of (unit, place) are made one of four, so that most keys collide."""
+    rows = [(i, f"a b c d e f g h {'x' * (i % 3 + 1)} {i % 7}") for i in range(40)] + [(100 + i, f"k l m n o p q r s{i}") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain(rows)
+    real = F.xxhash64
+    monkeypatch.setattr(D.F, "xxhash64", lambda *c: F.pmod(real(*c), F.lit(4)) if len(c) == 2 and isinstance(c[0], str) and c[0] == "word" else real(*c))
+    got = {r["doc_id"]: r["n_near"] for r in D.line_report(docs).collect()}
+    assert got == {i: want[i, t][1] for i, t in rows} and sum(got.values()) > 20
+
+
+def test_columns_whose_names_clash(spark, texts):
+    names = ["doc_id", "text", "_lines", "_d_t", "_dropped", "_d_id", "lines", "d_id", "d_t", "dropped", "t", "pos", "h1", "words", "a.b"]
+    line = "one two three four five six seven eight"
+    docs = spark.createDataFrame([(i, f"{line}\nof {i}", *([i] * (len(names) - 2))) for i in range(3)], ", ".join(f"`{n}` {'string' if n == 'text' else 'long'}" for n in names))
+    cut = D.dedup_lines(docs)
+    assert cut.columns == names and sorted(map(tuple, cut.collect())) == [(0, f"{line}\nof 0", *[0] * 13), (1, "of 1", *[1] * 13), (2, "of 2", *[2] * 13)]
+
+
 def test_no_python_in_the_plan(small_docs):
     assert not any(x in D.line_report(small_docs)._jdf.queryExecution().toString() for x in ("Python", "Arrow", "Pandas"))
 
