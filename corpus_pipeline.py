@@ -11,53 +11,65 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefixspark.llm import decontaminate, line_dedup, packing, quality_rules, simhash_dedup
-from prefixspark.llm.common import documents, drop_scratch, materialise, scratch_mark
+from prefixspark.llm.common import documents, drop_scratch, free_name, materialise, scratch_mark
 
 #: No SQL: fingerprints, edit distances and the dynamic programme are tested against brute force.
 ORACLE_SQL = None
 
 
-ROW = "_row_key"
+def _keyed(docs: DataFrame, stage: str) -> tuple[DataFrame, str]:
+    """``docs`` with a key of its own for each row, and that column's name. It is written so that the operator and the join that
+    follows it see the same keys."""
+    row = free_name(docs, "row_key")
+    return materialise(docs.withColumn(row, F.monotonically_increasing_id()), f"keyed-{stage}"), row
 
 
-def _keyed(docs: DataFrame, stage: str) -> DataFrame:
-    """``docs`` with a key of its own for each row, written so that the operator and the join that follows it see the same keys."""
-    return materialise(docs.withColumn(ROW, F.monotonically_increasing_id()), f"keyed-{stage}")
+def _columns(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
 
 
-def _without(keyed: DataFrame, rejected: DataFrame) -> DataFrame:
+def _without(keyed: DataFrame, row: str, rejected: DataFrame) -> DataFrame:
     """The rows of ``keyed`` that ``rejected`` does not name (its doc_id is the row key)."""
-    return keyed.join(rejected.select(F.col("doc_id").alias(ROW)).distinct(), ROW, "left_anti").drop(ROW)
+    return keyed.join(rejected.select(F.col("doc_id").alias(row)).distinct(), row, "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
-    keyed = _keyed(docs, "quality")
-    return _without(keyed, quality_rules.apply_rules(keyed, id_col=ROW).where("NOT kept")).select(*docs.columns)
+    """Documents that the rules reject go. Null and empty texts count as empty and go, a null source is a host of its own, very
+    long texts are measured whole, repeated rows are judged each, an empty table stays empty, extra columns stay as they are."""
+    keyed, row = _keyed(docs, "quality")
+    return _without(keyed, row, quality_rules.apply_rules(keyed, id_col=row).where("NOT kept")).select(*_columns(docs))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that equal or nearly equal an earlier line go; documents stay, n_chars follows their text."""
-    return line_dedup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """Lines that equal or nearly equal an earlier line go; documents stay, n_chars (if there is one) follows their text. Nulls
+    stay null, empty texts empty; rows that repeat an id and text are one document and keep the same lines; ties of an id go by
+    the text's hash; an empty table stays empty, extra columns stay as they are."""
+    cut = line_dedup.dedup_lines(docs)
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*_columns(docs)) if "n_chars" in docs.columns else cut
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of texts with similar sets of five-word shingles (0.8 or more) one row stays: of the least id, null ids last,
-    and of rows that share it the first."""
-    keyed = _keyed(docs, "near-duplicates")
-    groups = simhash_dedup.similar_groups(keyed, id_col=ROW).select(F.col("doc_id").alias(ROW), "component_id")
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", ROW)
-    stays = keyed.select("doc_id", ROW).join(groups, ROW).groupBy("component_id").agg(F.min(order).alias("first")).select(F.col(f"first.{ROW}").alias(ROW))
-    return keyed.join(stays, ROW, "left_semi").select(*docs.columns)
+    and of rows that share it the first. Null and empty texts are one group. Repeated rows are one group too. Very long texts are
+    compared whole; an empty table stays empty; extra columns stay as they are."""
+    keyed, row = _keyed(docs, "near-duplicates")
+    groups = simhash_dedup.similar_groups(keyed, id_col=row).select(F.col("doc_id").alias("r"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "r")
+    stays = keyed.select("doc_id", F.col(row).alias("r")).join(groups, "r").groupBy("component_id").agg(F.min(order).alias("first"))
+    return keyed.join(stays.select(F.col("first.r").alias(row)), row, "left_semi").select(*_columns(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
-    keyed = _keyed(docs, "decontamination")
-    return _without(keyed, decontaminate.find_leaks(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=ROW)).select(*docs.columns)
+    """Documents that hold a benchmark passage go. Null and empty texts hold none; repeated rows go or stay each; very long texts
+    are searched whole; an empty table or benchmark changes nothing; extra columns stay as they are."""
+    keyed, row = _keyed(docs, "decontamination")
+    leaks = decontaminate.find_leaks(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=row)
+    return _without(keyed, row, leaks).select(*_columns(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in batches of like length. Null and empty texts have one row in no batch; very long texts are cut into
+    pieces; repeated rows and ids are packed each; an empty table gives an empty table; extra columns are not read."""
     return packing.pack(docs)
 
 

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from prefixspark.llm.packing import TOKENIZER, tokenizer
@@ -83,15 +84,21 @@ def test_a_document_of_a_null_id_stays(spark, folder):
 
 
 def test_odd_and_empty_tables(spark, folder, odd_docs, no_docs):
-    extra = ["h1", "fp", "pattern", "host"]
-    for docs in (odd_docs.select(*COLUMNS, *extra), no_docs.select(*COLUMNS, *extra)):
+    extra = ["h1", "fp", "pattern", "host", "_row_key", "row_key", "_rejected", "r", "a.b"]
+    wider = lambda df: df.select("*", *(F.lit(7).alias(c) for c in extra[4:])).select(*COLUMNS, *(f"`{c}`" for c in extra))
+    for docs in (wider(odd_docs), wider(no_docs)):
         for name, stage in P.STAGES:
             docs = stage(spark, docs, folder)
             if name != "packing":
-                assert docs.columns == [*COLUMNS, *extra]
+                assert docs.columns == [*COLUMNS, *extra] and docs.where("_rejected <> 7 OR row_key <> 7").isEmpty()
         assert docs.where("n_tokens < 0").count() == 0
 
 
+def test_lines_without_a_count_of_characters(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").drop("n_chars")
+    assert P.lines(spark, docs, folder).columns == docs.columns
+
+
 def test_verdicts_hold_for_rows_whose_ids_are_null_or_repeat(spark, folder):
     rng = random.Random(22)
     prose = lambda n: " ".join("".join(rng.choices("ijklmnop", k=6)) for _ in range(n))
