@@ -3,9 +3,10 @@
 Texts are lower-cased (A-Z), split at white space and cut into shingles of five words. For an item of n shingles
 the windows are n shingles long, at every word. A window can reach the similarity t only if at least
 2nt / (1 + t) of its shingles belong to the benchmark, so others are passed over without loss. The window's
-SimHash is looked up in radius + 1 blocks of bits of the items of that size; two fingerprints within the radius
-agree in one block at least, so none is missed. The candidate's weighted similarity (sum of least over sum of
-greatest shingle counts) is then computed exactly. An item shorter than a shingle is one shingle of its own length.
+SimHash is looked up in four blocks of 16 bits of the items of that size. With a radius of 4r + a, two fingerprints within it
+differ by r or fewer bits in one of the first a + 1 blocks, or by fewer than r in another, so all values that near are probed
+and none is missed; of unrelated fingerprints a fifth meets at radius 20. The candidate's weighted similarity (sum of least over
+sum of greatest shingle counts) is then computed exactly. An item shorter than a shingle is one shingle of its own length.
 
 A text of fewer shingles than the item is one window as a whole. It is compared exactly, without fingerprints, with all
 items that share shingles with it.
@@ -16,6 +17,8 @@ from __future__ import annotations
 import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -61,10 +64,21 @@ def weighted_similarity(a: Counter, b: Counter) -> float:
     return shared / (a.total() + b.total() - shared)
 
 
-def block_edges(radius: int) -> list[tuple[int, int]]:
-    """(shift, width) of radius + 1 blocks of bits that cover all 64."""
-    cuts = [BITS * i // (radius + 1) for i in range(radius + 2)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+BLOCKS, WIDTH = 4, 16
+#: Windows that are probed at once.
+PROBED = 64
+
+
+@lru_cache
+def near_values(most: int) -> np.ndarray:
+    """All 16-bit numbers of at most ``most`` set bits: what is added to a block's value to probe its neighbours."""
+    return np.array([sum(1 << i for i in bits) for k in range(most + 1) for bits in combinations(range(WIDTH), k)], np.uint16)
+
+
+def block_radii(radius: int) -> list[int]:
+    """How far each block is probed (-1: not at all)."""
+    r, a = divmod(radius, BLOCKS)
+    return [r if b <= a else r - 1 for b in range(BLOCKS)]
 
 
 class Benchmark:
@@ -72,7 +86,6 @@ class Benchmark:
 
     def __init__(self, items: list[tuple[int, str]], radius: int, similarity: float):
         self.radius, self.similarity, seen = radius, similarity, _Words()
-        self.edges = block_edges(radius)
         self.classes: dict[tuple[int, int], list[tuple[int, Counter, int]]] = defaultdict(list)
         owners: dict[int, dict[int, set[tuple[int, int]]]] = defaultdict(lambda: defaultdict(set))
         for item_id, text in items:
@@ -85,7 +98,7 @@ class Benchmark:
             for x in h.tolist():
                 owners[k][x].add((len(h), len(self.classes[k, len(h)]) - 1))
         self.fps = {c: np.array([fp for *_, fp in m], np.uint64) for c, m in self.classes.items()}
-        self.index = {c: [self._sorted(fps, *e) for e in self.edges] for c, fps in self.fps.items()}
+        self.index = {c: [self._block(fps, b) for b in range(BLOCKS)] for c, fps in self.fps.items()}
         self.sets = {}  # by shingle length: sorted hashes, sizes of the items that have them, a bit table of 2^20 places
         self.holders = {}  # by shingle length, for each of the sorted hashes: (size, place in its class) of the items that have it
         for k, of in owners.items():
@@ -96,23 +109,34 @@ class Benchmark:
             self.holders[k] = [sorted(of[x]) for x in keys.tolist()]
 
     @staticmethod
-    def _sorted(fps: np.ndarray, shift: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-        part = (fps >> np.uint64(shift)) & np.uint64((1 << width) - 1)
+    def _block(fps: np.ndarray, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A block's values in order, the items that have them, and a bit for each of the 2^16 values: 8 KiB."""
+        part = (fps >> np.uint64(WIDTH * b)).astype(np.uint16)
         order = np.argsort(part, kind="stable")
-        return part[order], order
+        held = np.zeros(1 << WIDTH, bool)
+        held[part] = True
+        return part[order], order, np.packbits(held, bitorder="little")
+
+    def candidates(self, c: tuple[int, int], fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(windows, items) that one block lets pass, block by block."""
+        for b, (most, (part, order, held)) in enumerate(zip(block_radii(self.radius), self.index[c], strict=True)):
+            if most < 0:
+                continue
+            masks = near_values(most)
+            for i in range(0, len(fps), PROBED):
+                probes = (fps[i : i + PROBED] >> np.uint64(WIDTH * b)).astype(np.uint16)[:, None] ^ masks
+                w, m = np.nonzero((held[probes >> 3] >> (probes & 7).astype(np.uint8)) & 1)
+                value = probes[w, m]
+                lo, hi = np.searchsorted(part, value, "left"), np.searchsorted(part, value, "right")
+                at = np.arange((hi - lo).sum()) - np.repeat(np.cumsum(hi - lo) - hi, hi - lo)
+                yield np.repeat(w + i, hi - lo), order[at]
 
     def near(self, c: tuple[int, int], fps: np.ndarray) -> set[tuple[int, int]]:
         """(window, item) of all pairs within the radius."""
         out = set()
-        for (shift, width), (part, order) in zip(self.edges, self.index[c], strict=True):
-            mine = (fps >> np.uint64(shift)) & np.uint64((1 << width) - 1)
-            lo, hi = np.searchsorted(part, mine, "left"), np.searchsorted(part, mine, "right")
-            w = np.repeat(np.arange(len(fps)), hi - lo)
-            if len(w):
-                at = np.arange(len(w)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)
-                item = order[at]
-                on = np.bitwise_count(fps[w] ^ self.fps[c][item]) <= self.radius
-                out.update(zip(w[on].tolist(), item[on].tolist(), strict=True))
+        for w, item in self.candidates(c, fps):
+            on = np.bitwise_count(fps[w] ^ self.fps[c][item]) <= self.radius
+            out.update(zip(w[on].tolist(), item[on].tolist(), strict=True))
         return out
 
     def whole(self, k: int, h: np.ndarray, places: list[int]) -> Iterator[tuple[int, int, float]]:
@@ -206,7 +230,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     At a similarity of 0.8 two fingerprints differ in 10 of 64 bits, 3 more or less, so a radius of 20 misses one window in five
     thousand at the very bound.
 
-    Null and empty texts match nothing, nor do items without words. Documents that repeat give their rows each; of
+    Null and empty texts match nothing, nor do items without words. Very long texts are searched whole. Documents that repeat give their rows each; of
     items that share an id the best window counts. Empty tables give an empty table. The items are the query set: they go
     out in blocks of ``ITEM_BLOCK``, each searched in all documents. Other columns are not read.
     """

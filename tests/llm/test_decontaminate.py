@@ -66,6 +66,36 @@ def test_block_index_misses_nothing_within_the_radius():
     assert b.near(c, fps) == {(int(w), int(i)) for w, i in want} and len(want) >= 200
 
 
+def test_blocks_let_few_items_pass():
+    rng = np.random.default_rng(5)
+    items = [(i, " ".join(f"w{x}" for x in rng.integers(0, 10**6, 24))) for i in range(4000)]
+    b = D.Benchmark(items, 20, 0.8)
+    (c,) = b.classes
+    fps = rng.integers(0, 1 << 63, 50, np.uint64) * np.uint64(2) + rng.integers(0, 2, 50, np.uint64)
+    met = sum(len(w) for w, _ in b.candidates(c, fps))
+    assert met < 0.25 * 4000 * 50
+    want = {(int(w), int(i)) for w, i in zip(*np.nonzero(np.bitwise_count(fps[:, None] ^ b.fps[c][None]) <= 20), strict=True)}
+    assert b.near(c, fps) == want
+
+
+def test_recall_on_planted_edits(spark):
+    """1,000 items; each edited copy whose exact similarity is 0.8 or more must be found, at every rate of edits."""
+    rng = random.Random(9)
+    items = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(rng.choice([40, 41, 60, 90, 150])))) for i in range(1000)]
+    rows, rate_of, true = [], {}, {}
+    for i, (item_id, text) in enumerate(items):
+        words, rate = text.split(), i % 4
+        for k in rng.sample(range(len(words)), min(rate, len(words) // 30)):
+            words[k] = "edited"
+        rows.append((i, " ".join([*(f"v{rng.randrange(3000)}" for _ in range(20)), *words, *(f"v{rng.randrange(3000)}" for _ in range(20))])))
+        edited, own = ([tuple(x[j : j + 5]) for j in range(len(x) - 4)] for x in (words, text.split()))
+        rate_of[i], true[i] = rate, D.weighted_similarity(Counter(edited), Counter(own)) >= 0.8
+    found = {(r["doc_id"], r["item_id"]) for r in D.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    for rate in range(4):
+        of = [i for i in true if rate_of[i] == rate and true[i]]
+        assert sum((i, i) in found for i in of) >= 0.99 * len(of) and len(of) >= 50
+
+
 def test_item_blocks_and_empty_tables(spark, small_docs, no_docs, monkeypatch):
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     one = sorted(map(tuple, D.find_leaks(small_docs, bench).collect()))
