@@ -54,6 +54,29 @@ def test_malformed(bad):
         S.to_postfix(bad)
 
 
+@pytest.mark.parametrize(
+    ("text", "labels", "score"),
+    [
+        ("GNU Lesser General Public License", "gpl,lgpl", 0.5),
+        ("GNU Lesser General Public License and the General Public License", "gpl,lgpl", 0.75),
+        ("the General Public License. GNU Lesser General Public License", "gpl,lgpl", 0.75),
+        ("Creative Commons Attribution 4.0", "cc-by", 0.25),
+        ("Creative Commons Attribution-NonCommercial 4.0", "cc-by,cc-by-nc", 0.75),
+        ("Creative Commons Attribution-ShareAlike", "cc-by,cc-by-sa", 0.5),
+        ("SPDX-License-Identifier: CC-BY-NC-ND-4.0", "spdx:cc-by-nc-nd-4.0", 0.75),
+        ("SPDX-License-Identifier: CC-BY-4.0", "spdx:cc-by-4.0", 0.25),
+        ("SPDX-License-Identifier: MIT and see the file", "spdx:mit", 0.25),
+        ("SPDX-License-Identifier: (MIT or see the file", "spdx:malformed", 0.9),
+        ("SPDX-License-Identifier: GPL-2.0-or-later.", "spdx:gpl-2.0-or-later", 0.75),
+        ("SPDX-License-Identifier: LGPL-2.1+ AND BSD-3-Clause", "spdx:bsd-3-clause,spdx:lgpl-2.1+", 0.5),
+        ("SPDX-License-Identifier: mittens-1.0", "spdx:mittens-1.0", 0.9),
+        ("SPDX-License-Identifier: Proprietary", "spdx:proprietary", 0.9),
+    ],
+)
+def test_the_longest_phrase_and_whole_identifiers_count(text, labels, score):
+    assert S.scan_text(text, S._automaton())[5:] == (labels, score)
+
+
 def test_tag_adds_labels():
     row = S.scan_text("// SPDX-License-Identifier: (Apache-2.0 OR MIT) AND GPL-2.0\n# SPDX-License-Identifier: mit or", S._automaton())
     assert row[4] == "" and row[5] == "spdx:apache-2.0,spdx:gpl-2.0,spdx:malformed,spdx:mit" and row[6] == 0.9
