@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -74,6 +75,47 @@ def test_planted_random_strings_are_added(spark):
     assert got[3]["spans"] == "assign:0:72"  # a base span holds it
 
 
+def test_the_null_is_fitted_to_all_texts(spark):
+    texts = ["abca", "", None, "ab ca-b", "x" * 10]
+    counts = {}
+    for t in texts:
+        for x, y in zip(t or "", (t or "")[1:], strict=False):
+            if x in S._SYMBOLS and y in S._SYMBOLS:
+                counts[x, y] = counts.get((x, y), 0) + 1
+    table = S.np.zeros((66, 66))
+    for (x, y), n in counts.items():
+        table[S._SYMBOLS.index(x), S._SYMBOLS.index(y)] = n
+    assert S.fit_null(spark.createDataFrame([(t,) for t in texts], "text string")) == S.fitted(table)
+    n, first = sum(v for (x, y), v in counts.items() if x in S._LOW and y in S._LOW), {}
+    for (x, y), v in counts.items():
+        if x in S._LOW and y in S._LOW:
+            first[x] = first.get(x, 0) + v
+    equal = sum((v / n) ** 2 for v in first.values())
+    prior = S.GENERAL["lower"][0]
+    assert S.fitted(table)["lower"][0] == pytest.approx((n * equal + S.PRIOR_PAIRS * prior) / (n + S.PRIOR_PAIRS))
+    assert S.fitted(S.np.zeros((66, 66))) == S.GENERAL
+
+
+def test_what_is_found_depends_on_the_corpus(spark):
+    """The same strings: in prose they stand out, in a corpus that is written like them they don't."""
+    rng = random.Random(15)
+    keys = ["".join(rng.choices(S._LOW + S._DIG, k=60)) for _ in range(5)]
+    words = [w for w in re.findall("[a-z]{2,}", (S.__doc__ + re.__doc__ + random.__doc__).lower())]
+    prose = [(100 + i, " ".join(rng.choices(words, k=300))) for i in range(60)]
+    noise = [(100 + i, " ".join("".join(rng.choices(S._LOW + S._DIG, k=9)) for _ in range(300))) for i in range(60)]
+    found = lambda rows: {r["doc_id"] for r in S.scan_secrets(spark.createDataFrame([(i, f"{k} is one") for i, k in enumerate(keys)] + rows, "doc_id long, text string")).collect() if r["n_random"]}
+    assert found(prose) == set(range(5)) and not found(noise)
+
+
+def test_a_long_dump_takes_linear_time():
+    rng = random.Random(16)
+    text = "\n".join("".join(rng.choices("0123456789abcdef", k=64)) + " " + "ab" * 12 + "_z" for _ in range(20_000))
+    base = S.base_spans(text)
+    began = time.perf_counter()
+    found = S.candidates(text, base)
+    assert len(base) == 40_000 and len(found) == 20_000 and time.perf_counter() - began < 20
+
+
 def test_empty_table(no_docs):
     assert S.scan_secrets(no_docs).count() == 0
 
