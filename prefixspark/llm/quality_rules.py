@@ -14,7 +14,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, materialise, text_of
@@ -54,6 +54,12 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", "host", *_FEATURES])
 
 
+def host_of(column: Column) -> Column:
+    """The domain of a URL, in lower case and without a leading "www."; anything else is a host as it stands."""
+    domain = F.lower(F.regexp_extract(column, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))
+    return F.when(domain != "", F.regexp_replace(domain, r"^www\.", "")).otherwise(column)
+
+
 def host_rates(measured: DataFrame, prior_docs: float = 20.0, host_limit: float = 0.5, z: float = 1.64) -> DataFrame:
     """host, n_docs, n_failed, rate (shrunken), lower, bad. The prior's mean and weight come from the hosts' own rates by
     moments; where they don't vary more than chance, the weight is ``prior_docs``."""
@@ -72,10 +78,11 @@ def host_rates(measured: DataFrame, prior_docs: float = 20.0, host_limit: float
 def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", host_limit: float = 0.5) -> DataFrame:
     """One row per input row: doc_id, host, the counts, base_failed, soft_failed, host_rate, host_bad, kept.
 
-    Null texts count as empty (and fail), a null host is a host of its own. Rows that repeat count each. An empty
-    table gives an empty table. Other columns are not read.
+    ``host_col`` may hold URLs: their domain is the host. Null texts count as empty (and fail), a null host is a host of its own.
+    Very long texts are measured whole. Rows that repeat count each. A limit that is just met is not exceeded. An empty table
+    gives an empty table. Other columns are not read.
     """
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), text_of(text_col).alias("text"))
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), host_of(F.col(host_col).cast("string")).alias("host"), text_of(text_col).alias("text"))
     measured = picked.mapInArrow(_measure, "doc_id long, host string, " + ", ".join(f"{c} long" for c in _FEATURES))
     base = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     soft = (100 * F.col("n_symbols") > SYMBOL_PERCENT * F.col("word_chars")) | (100 * F.col("n_dup_lines") > LINE_PERCENT * F.col("n_lines"))

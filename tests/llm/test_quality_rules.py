@@ -48,6 +48,17 @@ def test_host_verdict_reaches_documents(spark):
     assert 0 < got[400]["host_rate"] < 0.9  # one document says little: the prior's mean pulls
 
 
+def test_the_host_verdict_changes_what_is_kept(spark):
+    """The same soft failures: kept on a good host, rejected on a bad one; hosts by domain, from URLs."""
+    clean, soft = "these are ten quite ordinary words that say very little", "word ### a &&& b *** c $$$ d %%% e ||| f <<< g"
+    rows = [(i, soft, f"https://www.Bad.org/{i}") for i in range(70)] + [(100 + i, clean, f"http://u@bad.org:80/{i}?q") for i in range(30)]
+    rows += [(200 + i, soft, "https://good.org/") for i in range(5)] + [(300 + i, clean, "https://good.org/x") for i in range(95)] + [(400, soft, "plain name")]
+    got = {r["doc_id"]: r for r in Q.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, url string"), host_col="url").collect()}
+    assert {r["host"] for r in got.values()} == {"bad.org", "good.org", "plain name"}
+    assert not any(got[i]["base_failed"] for i in got) and not any(got[i]["kept"] for i in range(70))
+    assert all(got[i]["kept"] for i in got if i >= 100)
+
+
 def test_shuffled_way_agrees(spark, monkeypatch):
     one = sorted(map(tuple, Q.apply_rules(hosts(spark)).collect()))
     monkeypatch.setattr(Q, "BROADCAST_ROWS", 1)
