@@ -10,8 +10,8 @@ into runs with one anchor each, and only runs with equal anchor grams need be co
 3. the bytes of the other runs, and one copy of each run they may repeat, go to the task of their gram as the documents
    of a collection, with the anchor in one column. ``bwt_columns`` inserts one symbol of each per round and keeps the
    collection's transform and common prefixes: a window is repeated if the suffix before or after its own in the order has
-   the window's length in common. A gram with very many different runs is not sent to one task: its windows go as
-   hashed rows to a distributed count;
+   the window's length in common. A gram with very many different runs is not sent to one task: its windows go as rows to a
+   distributed count by (gram, anchor's place in the window, 128 bits of hash);
 4. the repeated windows of each text, merged to spans, meet the text again.
 
 Equal windows always share their anchor and so their column, which is why the transform is needed by column only. Over
@@ -30,11 +30,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bwt_columns import repeated_windows
-from .common import materialise, text_of
+from .common import BROADCAST_ROWS, drop_scratch, materialise, scratch_mark, text_of
 
 GRAM = 64
 #: Different runs of a gram that one task compares; the windows of a gram with more are counted as rows.
 HOT_RUNS = 8_000
+#: A run with so many copies, or more in large tables, meets its copies by broadcast.
+HOT_COPIES = 1_000
 #: Runs that a task holds before it looks for repeats (at the next gram).
 HELD_RUNS = 4_000
 #: Starts that are handled at once, so that an anchor's place fits 20 bits.
@@ -126,8 +128,10 @@ def _spans(t1: list[int], t2: list[int], starts: list[np.ndarray], length: int)
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["t1", "t2", "a", "b"])
 
 
-def window_hashes(raw: bytes, length: int) -> list[int]:
-    return [_hash(raw[i : i + length]) for i in range(len(raw) - length + 1)]
+def window_hashes(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of 128 bits of hash of each window."""
+    h = [xxhash.xxh3_128_intdigest(raw[i : i + length]) for i in range(len(raw) - length + 1)]
+    return np.array([x >> 64 for x in h], np.uint64).view(np.int64), np.array([x & ((1 << 64) - 1) for x in h], np.uint64).view(np.int64)
 
 
 def _compare(length: int):
@@ -157,10 +161,11 @@ def _compare(length: int):
 def _emit_windows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t1, t2, lo, n, raw in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                h = window_hashes(raw, length)
-                columns = (np.full(len(h), t1), np.full(len(h), t2), np.arange(lo, lo + len(h)), np.full(len(h), n), np.array(h))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["t1", "t2", "a", "n", "h"])
+            for t1, t2, gram, lo, p, n, raw in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                h, g = window_hashes(raw, length)
+                a = np.arange(lo, lo + len(h))
+                columns = (*(np.full(len(h), x) for x in (t1, t2, gram, n)), a, p - a, h, g)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["t1", "t2", "gram", "n", "a", "place", "h", "g"])
 
     return run
 
@@ -213,10 +218,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sent = raw.join(wanted, ["id", "t1", "t2"]).select("t1", "t2", "bytes", "want").mapInArrow(_emit_bytes(length), "t1 long, t2 long, gram long, lo long, p long, n long, hot boolean, bytes binary")
     sent = materialise(sent, "suffix-edges")
     usual = sent.where(~F.col("hot")).repartition("gram").sortWithinPartitions("gram").select("t1", "t2", "gram", "lo", "p", "n", "bytes").mapInArrow(_compare(length), _SPAN)
-    windows = sent.where("hot").select("t1", "t2", "lo", "n", "bytes").mapInArrow(_emit_windows(length), "t1 long, t2 long, a long, n long, h long")
-    twice = windows.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
-    hot = windows.where("n = 1").join(twice, "h").select("t1", "t2", "a", (F.col("a") + length).alias("b"))
-    whole = runs.join(counted.where("n > 1").select("gram", "whole"), ["gram", "whole"]).select("t1", "t2", F.col("lo").alias("a"), (F.col("hi") + length).alias("b"))
+    windows = sent.where("hot").select("t1", "t2", "gram", "lo", "p", "n", "bytes").mapInArrow(_emit_windows(length), "t1 long, t2 long, gram long, n long, a long, place long, h long, g long")
+    key = ["gram", "place", "h", "g"]
+    twice = windows.groupBy(*key).agg(F.count("*").alias("k")).where("k > 1").select(*key)
+    hot = windows.where("n = 1").join(twice, key).select("t1", "t2", "a", (F.col("a") + length).alias("b"))
+    # runs with very many copies meet their count by broadcast: at most BROADCAST_ROWS runs can have that many
+    often = F.col("n") >= max(HOT_COPIES, -(-runs.count() // BROADCAST_ROWS))
+    copied = counted.where("n > 1").select("gram", "whole", often.alias("often"))
+    common = F.broadcast(copied.where("often").select("gram", "whole"))
+    met = runs.join(common, ["gram", "whole"]).unionByName(runs.join(common, ["gram", "whole"], "left_anti").join(copied.where("NOT often").select("gram", "whole"), ["gram", "whole"]))
+    whole = met.select("t1", "t2", F.col("lo").alias("a"), (F.col("hi") + length).alias("b"))
     # texts that are copies give equal spans: they are merged before anything is gathered by text
     spans = whole.unionByName(usual).unionByName(hot).distinct()
     return spans.groupBy("t1", "t2").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
@@ -226,12 +237,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     A byte goes if any string of ``length`` bytes over it also starts elsewhere, in this text or another; strings are
-    judged on the input. Null texts count as empty; texts below ``length`` stay whole. Rows that repeat are
-    separate texts and repeat each other. An empty table gives an empty table. Other columns are not read. Windows
-    are compared byte by byte, but for whole runs and hot grams: 64 bits of hash, within equal grams.
+    judged on the input. Null texts count as empty; texts below ``length`` stay whole, very long ones are read in pieces that
+    overlap. Rows that repeat are separate texts and repeat each other. An empty table gives an empty table. Other columns are
+    not read. Windows are compared byte by byte, but for whole runs (64 bits of hash, within equal grams) and the windows of hot
+    grams (128 bits, within equal grams and places).
     """
-    text = text_of(text_col)
+    text, since = text_of(text_col), scratch_mark()
     spans = materialise(repeated_spans(docs, id_col, text_col, length, hot_runs), "suffix-spans")
+    drop_scratch(docs.sparkSession, since, keep="suffix-spans")
     whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), *text_key(text), text.cast("binary").alias("bytes"))
     none = F.array().cast("array<struct<a:long,b:long>>")
     return whole.join(spans, ["t1", "t2"], "left").select("doc_id", "bytes", F.coalesce("spans", none).alias("spans")).mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
