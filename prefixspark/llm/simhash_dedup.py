@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialise, text_of
+from .common import BROADCAST_ROWS, drop_scratch, materialise, scratch_mark, text_of
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 # The hash's seed and the fingerprint's width.
@@ -297,10 +297,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Candidates are fingerprints of ``words`` times 64 bits within ``radius``. At 0.8 two texts differ in 29 of 192 bits, 5 more
     or less, so 45 misses one in two thousand at the very bound; unrelated texts differ in 96, 7 more or less. Texts without
-    words (null, empty) are equal, and so one group. Rows that repeat are one group. Null ids never name a group,
-    and a text that only rows without an id have is not compared. An empty table gives an empty table. Other columns are not read.
+    words (null, empty) are equal, and so one group. Very long texts are compared whole. Rows that repeat are one group. Null ids
+    never name a group: one of null ids alone has a null id. An empty table gives an empty table. Other columns are not read.
     """
-    text = text_of(text_col)
+    text, since = text_of(text_col), scratch_mark()
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t"))
     marked = materialise(picked.mapInArrow(_mark(shingle, words), "doc_id long, t long, node long, words array<long>"), "similar")
     distinct = materialise(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("words").alias("words")), "similar-distinct")
@@ -311,23 +311,26 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     several = grouped.groupBy("label").agg(F.count("*").alias("n")).where("n > 1").select("label")
     wanted = materialise(grouped.join(several, "label").select("node", "label", "least"), "similar-candidates")
     # the text of each node's least id
-    at = marked.join(wanted.select("node", "label", F.col("least").alias("doc_id")), ["node", "doc_id"]).groupBy("node", "label", "doc_id").agg(F.min("t").alias("t"))
-    texts = picked.join(at, ["doc_id", "t"])
+    w = wanted.select(F.col("node").alias("w_node"), "label", "least")
+    at = marked.join(w, (F.col("node") == F.col("w_node")) & F.col("doc_id").eqNullSafe(F.col("least"))).groupBy("node", "label", "least").agg(F.min("t").alias("at_t"))
+    texts = picked.join(at, (F.col("t") == F.col("at_t")) & F.col("doc_id").eqNullSafe(F.col("least")))
     texts = materialise(texts.dropDuplicates(["node"]).select("node", "label", "text"), "similar-texts")
     labels = star_components(verified_links(texts, similarity, shingle)).withColumnRenamed("label", "group")
     named = distinct.select("node", "least").join(labels, "node", "left").select("node", "least", F.coalesce("group", "node").alias("group"))
     names = named.groupBy("group").agg(F.min("least").alias("component_id"))
     of = materialise(named.join(names, "group").select("node", "component_id"), "similar-groups")
+    drop_scratch(docs.sparkSession, since, keep=("similar", "similar-groups"))
     return marked.join(of, "node").select("doc_id", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
     """One row per input row: doc_id, fingerprint, component_id (the least doc_id that links reach).
 
-    Texts without words (null, empty) have the fingerprint zero and link like any other. Rows that repeat share a
-    fingerprint, and so a component. Null ids never name a component; one of null ids alone has a null id. An
-    empty table gives an empty table. Other columns are not read.
+    Texts without words (null, empty) have the fingerprint zero and link like any other. Very long texts are hashed whole; a bit
+    that just half of the hashes have is 0. Rows that repeat share a fingerprint, and so a component. Null ids never name a
+    component; one of null ids alone has a null id. An empty table gives an empty table. Other columns are not read.
     """
+    since = scratch_mark()
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     marked = materialise(picked.mapInArrow(_fingerprints(shingle), "doc_id long, fp long"), "simhash")
     distinct = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
@@ -335,4 +338,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     grouped = distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     names = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
     of = materialise(grouped.join(names, "label").select("fp", "component_id"), "simhash-groups")
+    drop_scratch(docs.sparkSession, since, keep=("simhash", "simhash-groups"))
     return marked.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
