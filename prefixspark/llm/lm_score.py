@@ -6,12 +6,16 @@ Every count is taken over all training documents. Three steps read the corpus:
    more, at most ``1 / p_symbol`` of them, which is what bounds the broadcast);
 2. each text becomes its symbols (a head word's number, 0 for any other word, 1 for the end) and the hashes of its
    other words, written once without the text;
-3. for each context length, counts of (context, next symbol) for every context with a share of ``p_context``.
-
-A context stays if its next-symbol counts diverge from those of its suffix: the G statistic over next symbols that
-are expected five times or more, the rest as one class, beyond ``z`` standard deviations. Next-symbol distributions
-are smoothed towards the longest kept suffix's by Witten-Bell weights; next symbols below ``p_symbol`` of all tokens
-share the suffix's. A token's state is the longest kept context that ends before it. Words beyond the head are
+3. for each context length up to ``depth``, counts of (context, next symbol) for every context with a share of ``p_context``:
+   the tree's trunk, which is sent to the tasks;
+4. counts of (word, next symbol) for all other head words that occur ``least`` times: the tree's leaves. All their pairs that
+   occur twice are kept, as a table that grows with the corpus and meets the texts by a join.
+
+A context of the trunk stays if its next-symbol counts diverge from those of its suffix: the G statistic over next symbols that
+are expected five times or more, the rest as one class, beyond ``z`` standard deviations. A leaf stays if one next symbol is so
+much more frequent than expected that the Poisson bound of that excess is below ``RARE``. Next-symbol distributions
+are smoothed towards the longest kept suffix's by Witten-Bell weights; in the trunk, next symbols below ``p_symbol`` of all
+tokens share the suffix's. A token's state is the longest kept context that ends before it. Words beyond the head are
 scored as symbol 0 times their share among such words, by a join with their counts, not by a broadcast.
 """
 
@@ -27,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_of
+from .common import drop_scratch, materialise, scratch_mark, text_of
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 #: White space is never part of a word, so this is no word's hash input.
@@ -36,6 +40,8 @@ OTHER, END, FIRST = 0, 1, 2  # symbol numbers
 HELD_OUT_OF = 10
 #: Next symbols that a task sorts at once; it sends its counts on when they exceed twice as many keys.
 COUNTED = 500_000
+#: A leaf needs a next symbol whose excess is less likely than this, which leaves room for a million symbols.
+RARE = 1e-9
 
 
 def word_hash(word: bytes) -> int:
@@ -118,6 +124,8 @@ class Tree:
 
     def __init__(self, unigram: np.ndarray):
         self.unigram, self.levels = unigram, []
+        #: By symbol: how often a leaf is followed and its weight of the suffix; 0 where the symbol is no kept leaf.
+        self.leaf_total = self.leaf_low = np.zeros(len(unigram))
 
     def contexts(self, s: np.ndarray, depth: int) -> Iterator[np.ndarray]:
         """For each level, the number of the context before each symbol, or -1. ``s`` starts with an end as the context of
@@ -137,6 +145,8 @@ class Tree:
         """log10 of each symbol's probability in its longest kept state."""
         nxt = s[1:].astype(np.int64)
         p = self.unigram[nxt]
+        leaf = np.flatnonzero(self.leaf_total[s[:-1]])
+        p[leaf] *= self.leaf_low[s[leaf]] / self.leaf_total[s[leaf]]  # pairs of the leaves' table are added by a join
         for level, at in zip(self.levels, self.contexts(s, len(self.levels)), strict=True):
             i = np.flatnonzero((at >= 0) & level["kept"][at])
             if not len(i):
@@ -150,12 +160,18 @@ class Tree:
         return np.log10(p)
 
 
+def leaf_keys(leaf: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """(symbol, next symbol) wherever ``leaf`` has the symbol."""
+    i = np.flatnonzero(leaf[s[:-1]])
+    return (s[i].astype(np.int64) << 32) | s[i + 1]
+
+
 def _with_start(raw: bytes) -> np.ndarray:
     return np.concatenate([[END], np.frombuffer(raw, np.int32)])
 
 
-def _count_next(tree, depth: int):
-    """Counts of (context of ``depth`` symbols, next symbol), merged within the task."""
+def _count_next(keys_of):
+    """Counts of the keys (context, next symbol) that ``keys_of`` finds in a text's symbols, merged within the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []  # sorted runs of different keys, with their counts
@@ -177,10 +193,8 @@ def _count_next(tree, depth: int):
         for batch in batches:
             for raw in batch.column(0):
                 s = _with_start(raw.as_py())
-                *_, at = tree.value.contexts(s, depth)
-                i = np.flatnonzero(at >= 0)
-                found.append((at[i] << 32) | s[1:][i])
-                size += len(i)
+                found.append(keys_of(s))
+                size += len(found[-1])
                 if size > COUNTED:
                     sort_found()
                     if sum(map(len, keys)) > 4 * COUNTED:
@@ -195,6 +209,80 @@ def _count_next(tree, depth: int):
     return run
 
 
+def _count_contexts(tree, depth: int):
+    def keys_of(s: np.ndarray) -> np.ndarray:
+        *_, at = tree.value.contexts(s, depth)
+        i = np.flatnonzero(at >= 0)
+        return (at[i] << 32) | s[1:][i]
+
+    return _count_next(keys_of)
+
+
+def _leaf_pairs(tree):
+    """(rid, key, n): the pairs of each text that begin with a kept leaf."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rid, keys, counts = [], [], []
+            for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                k, n = np.unique(leaf_keys(tree.value.leaf_total, _with_start(raw)), return_counts=True)
+                rid.append(np.full(len(k), i))
+                keys.append(k)
+                counts.append(n)
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (rid, keys, counts)], names=["rid", "key", "n"])
+
+    return run
+
+
+def _excess(unigram, counts):
+    """(c, n, most): each pair's count and the exponent of its excess's Poisson bound."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, o = (batch.column(i).to_numpy().astype(np.int64) for i in (0, 1))
+            c, x = key >> 32, key & 0xFFFFFFFF
+            e = counts.value[c] * unigram.value[x]
+            most = np.where(o > e, o * np.log(o / e) - o + e, 0.0)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(o, pa.int64()), pa.array(most, pa.float64())], names=["c", "n", "most"])
+
+    return run
+
+
+def _delta(tree):
+    """(key, delta): what log10 of a stored pair's probability gains over a pair that isn't stored."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = tree.value
+        for batch in batches:
+            key, n = (batch.column(i).to_numpy().astype(np.int64) for i in (0, 1))
+            key, n = (v[t.leaf_total[key >> 32] > 0] for v in (key, n))
+            gain = np.log10(1 + n / (t.leaf_low[key >> 32] * t.unigram[key & 0xFFFFFFFF]))
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(gain, pa.float64())], names=["key", "delta"])
+
+    return run
+
+
+def grow_leaves(tree: Tree, coded: DataFrame, n_symbol: np.ndarray, total: int, p_context: float, least: int) -> DataFrame:
+    """Find the tree's leaves and return their pairs (key, n) that occur twice or more in training texts. A leaf is a head word
+    below the trunk's share that occurs ``least`` times: at most ``1 / p_symbol`` numbers for the driver and the tasks, while the
+    pairs stay a table."""
+    spark = coded.sparkSession
+    able = (n_symbol >= least) & (n_symbol < max(p_context * total, 1.0))
+    able[: END + 1] = False
+    sent = spark.sparkContext.broadcast(able)
+    pairs = coded.where(~F.col("held_out")).select("symbols").mapInArrow(_count_next(lambda s: leaf_keys(sent.value, s)), "key long, n long")
+    pairs = materialise(pairs.groupBy("key").agg(F.sum("n").alias("n")), "lm-leaf-pairs")
+    unigram, counts = spark.sparkContext.broadcast(tree.unigram), spark.sparkContext.broadcast(n_symbol)
+    each = pairs.mapInArrow(_excess(unigram, counts), "c long, n long, most double")
+    found = each.groupBy("c").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("stored"), F.max("most").alias("most"))
+    found = found.where(F.col("most") > -np.log(RARE)).select("c", "k", "n", "stored").toPandas()
+    c, k, n, stored = (found[x].to_numpy(np.int64) for x in ("c", "k", "n", "stored"))
+    tree.leaf_total, tree.leaf_low = np.zeros(len(n_symbol)), np.zeros(len(n_symbol))
+    tree.leaf_total[c], tree.leaf_low[c] = n + k, n - stored + k
+    return pairs.where("n > 1")
+
+
 def _score(tree, base_log10):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,7 +320,7 @@ def build_tree(coded: DataFrame, head_counts: np.ndarray, other: int, total: int
             break
         tree.levels.append(level)
         sent = spark.sparkContext.broadcast(tree)
-        pairs = train.mapInArrow(_count_next(sent, d), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        pairs = train.mapInArrow(_count_contexts(sent, d), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
         pairs = materialise(pairs.select(F.shiftright("key", 32).alias("c"), F.col("key").bitwiseAND(0xFFFFFFFF).alias("x"), "n"), f"lm-next-{d}")
         contexts = spark.createDataFrame([(i, int(p), float(n)) for i, (p, n) in enumerate(zip(parent.tolist(), level["n"].tolist(), strict=True))], "c long, p long, n_c double")
         # what the suffix expects: the symbols' own counts, or the counts after the context of one symbol less
@@ -290,14 +378,17 @@ def _spell(levels: list[dict]) -> list[tuple[int, ...]]:
     return spelled
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 2, p_symbol: float = 1e-6, p_context: float = 1e-4, z: float = 4.0) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, p_symbol: float = 1e-6, p_context: float = 1e-4, z: float = 4.0, least: int = 20) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Null and empty texts are one end token. Rows that repeat each train and are each scored. With no training
-    documents every word has its smoothed share of an empty count. An empty table gives an empty table; other
-    columns are not read.
+    The trunk has at most ``1 / p_context`` contexts a length and ``1 / p_symbol`` entries; contexts have up to ``depth`` words. The
+    leaves are all head words that occur ``least`` times or more, with all their pairs that occur twice.
+
+    Null and empty texts are one end token. Very long texts are scored whole. Rows that repeat each train and are each scored;
+    equal texts get equal scores. With no training documents every word has its smoothed share of an empty count. An empty table
+    gives an empty table; other columns are not read.
     """
-    spark = docs.sparkSession
+    spark, since = docs.sparkSession, scratch_mark()
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     counts = materialise(picked.mapInArrow(_count_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "lm-words")
     totals = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
@@ -313,13 +404,19 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     coded = materialise(coded.withColumn("rid", F.monotonically_increasing_id()), "lm-coded")
     head_counts = np.concatenate([[end_n], head_n])
     tree = build_tree(coded, head_counts, other_n, total, depth, p_symbol, p_context, z)
+    pairs = grow_leaves(tree, coded, np.concatenate([[other_n], head_counts]), total, p_context, least)
 
     space = total + 0.1 * (distinct + 1)
     base = np.concatenate([[0.0], np.log10((head_counts + 0.1) / space)])
-    model = coded.select("rid", "doc_id", "held_out", "n_tokens", "symbols").mapInArrow(_score(spark.sparkContext.broadcast(tree), spark.sparkContext.broadcast(base)), "rid long, doc_id long, held_out boolean, n_tokens long, base double, known long, model double")
+    sent_tree = spark.sparkContext.broadcast(tree)
+    # each text's pairs meet the leaves' table; no key has more than a share of p_context of all pairs
+    gains = coded.select("rid", "symbols").mapInArrow(_leaf_pairs(sent_tree), "rid long, key long, n long").join(pairs.mapInArrow(_delta(sent_tree), "key long, delta double"), "key")
+    gains = materialise(gains.groupBy("rid").agg(F.sum(F.col("n") * F.col("delta")).alias("leaf_gain")), "lm-gains")
+    drop_scratch(spark, since, keep=("lm-words", "lm-coded", "lm-gains"))
+    model = coded.select("rid", "doc_id", "held_out", "n_tokens", "symbols").mapInArrow(_score(sent_tree, spark.sparkContext.broadcast(base)), "rid long, doc_id long, held_out boolean, n_tokens long, base double, known long, model double")
     rare = counts.where(~is_head).select("key", F.col("n").alias("c"))
     tail = coded.select("rid", F.explode("others").alias("key")).join(rare, "key", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     other_space = other_n + 0.1 * (other_v + 1)
     tail = tail.groupBy("rid").agg(F.sum((F.col("c") > 0).cast("long")).alias("tail_known"), F.sum(F.log10((F.col("c") + 0.1) / space)).alias("tail_base"), F.sum(F.log10((F.col("c") + 0.1) / other_space)).alias("tail_model"))
     zero = F.lit(0)
-    return model.join(tail, "rid", "left").select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("tail_known", zero)).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("tail_base", F.lit(0.0))).alias("base_score"), (F.col("model") + F.coalesce("tail_model", F.lit(0.0))).alias("score"))
+    return model.join(tail, "rid", "left").join(gains, "rid", "left").select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("tail_known", zero)).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("tail_base", F.lit(0.0))).alias("base_score"), (F.col("model") + F.coalesce("tail_model", F.lit(0.0)) + F.coalesce("leaf_gain", F.lit(0.0))).alias("score"))

@@ -91,6 +91,74 @@ def test_tree_matches_brute_force(spark, monkeypatch, counted):
         assert abs(sum(10 ** tree.log10(np.array((*history, s), np.int64))[-1] for s in range(n)) - 1) < 1e-9
 
 
+def test_leaves_match_brute_force(spark):
+    """Trunk contexts off: every head word below the share is a leaf or none, and scores follow its pairs."""
+    rng = np.random.default_rng(4)
+    texts = []
+    for _ in range(90):
+        t = [int(rng.integers(2, 40))]
+        for _ in range(50):
+            t.append(t[-1] % 37 + 3 if t[-1] < 20 and rng.random() < 0.6 else int(rng.choice([0, *range(2, 40)])))
+        texts.append((*t, L.END))
+    n = 40
+    uni = np.bincount([x for t in texts for x in t], minlength=n)
+    held = [i % 9 == 0 for i in range(90)]
+    n_symbol = np.bincount([x for t, h in zip(texts, held, strict=True) if not h for x in t], minlength=n)
+    total = int(n_symbol.sum())
+    coded = spark.createDataFrame([(i, h, bytearray(np.array(t, np.int32).tobytes())) for i, (t, h) in enumerate(zip(texts, held, strict=True))], "rid long, held_out boolean, symbols binary")
+    tree = L.Tree((uni + 0.1) / (uni.sum() + 4))
+    stored = {r["key"]: r["n"] for r in L.grow_leaves(tree, coded, n_symbol.astype(float), total, 1.0, 60).collect()}
+    pairs = Counter((a, b) for t, h in zip(texts, held, strict=True) if not h for a, b in zip((L.END, *t), t, strict=False) if a > L.END and n_symbol[a] >= 60)
+    assert stored == {(a << 32) | b: k for (a, b), k in pairs.items() if k > 1}
+    kept = set()
+    for a in range(2, n):
+        if n_symbol[a] >= 60:
+            e = {b: n_symbol[a] * tree.unigram[b] for b in range(n)}
+            if any(k > e[b] and k * math.log(k / e[b]) - k + e[b] > -math.log(L.RARE) for (x, b), k in pairs.items() if x == a):
+                kept.add(a)
+    assert kept == set(np.flatnonzero(tree.leaf_total).tolist()) and 3 < len(kept) < n - 2
+    for a in kept:  # a distribution in every leaf, with the gains of its table
+        of = {b: k for (x, b), k in pairs.items() if x == a}
+        full, types, some = sum(of.values()), len(of), sum(k for k in of.values() if k > 1)
+        p = [10 ** (tree.log10(np.array([a, b], np.int64))[0] + (math.log10(1 + of[b] / (tree.leaf_low[a] * tree.unigram[b])) if of.get(b, 0) > 1 else 0)) for b in range(n)]
+        want = [((of[b] if of.get(b, 0) > 1 else 0) + (full - some + types) * tree.unigram[b]) / (full + types) for b in range(n)]
+        assert np.allclose(p, want) and abs(sum(p) - 1) < 1e-9
+
+
+def test_leaf_gains_reach_the_score(spark):
+    """Pairs of words below the trunk's share: the score of a whole table is that of the trunk's tree plus the leaves'."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(500):
+        w = []
+        while len(w) < 60:
+            a = int(rng.integers(300))
+            w += [f"a{a}", f"b{a}"]
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    with_leaves, without = ({r["doc_id"]: r["score"] for r in L.score_documents(docs, p_context=0.5, least=n).where("held_out").collect()} for n in (20, 10**9))
+    gained = sum(with_leaves.values()) - sum(without.values())
+    assert gained / (61 * len(without)) > 0.5
+    c = Counter(x for i, t in rows if not L.is_held_out(i) for x in zip(t.split(), [*t.split()[1:], "END"], strict=True))
+    uni = Counter(x for i, t in rows if not L.is_held_out(i) for x in [*t.split(), "END"])
+    total, types = uni.total(), len(uni)
+    p0 = lambda x: (uni[x] + 0.1) / (total + 0.1 * (types + 1))
+    want = 0.0
+    for i, t in rows:
+        if i not in without:
+            continue
+        prev = None
+        for x in [*t.split(), "END"]:
+            p = p0(x)
+            if prev is not None and prev[0] == "a":  # words "b" are followed at random and are no leaves
+                of = {y: k for (a, y), k in c.items() if a == prev}
+                stored = sum(k for k in of.values() if k > 1)
+                p = ((of[x] if of.get(x, 0) > 1 else 0) + (sum(of.values()) - stored + len(of)) * p) / (sum(of.values()) + len(of))
+            want += math.log10(p)
+            prev = x
+    assert sum(with_leaves.values()) == pytest.approx(want, rel=1e-6)
+
+
 def test_contexts_help_on_held_out_text(spark):
     rng = np.random.default_rng(1)
     rows = []
