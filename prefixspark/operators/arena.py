@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import InvalidNodeType, require
 from ..functions.bits import NODE_TYPES
+from .running import sum_before
 
 # Slab classes as (number, node type, slot bytes, slots in a chunk).
 SLAB_CLASSES = ((0, "Node4", 48, 83), (1, "Node16", 152, 26), (2, "Node64", 528, 7), (3, "Node256", 2064, 1))
@@ -18,9 +19,8 @@ def bump(allocations: DataFrame, capacity: int, arena: str = "arena") -> DataFra
 
     Each takes size + align - 1 bytes of the frontier, also when it fails; it fails if its end passes the capacity.
     """
-    reserved = F.col("size") + F.col("align") - 1
-    by = Window.partitionBy(arena).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    out = allocations.withColumn("reserved", reserved).withColumn("raw", F.coalesce(F.sum("reserved").over(by), F.lit(0)))
+    out = allocations.withColumn("reserved", F.col("size") + F.col("align") - 1)
+    out = sum_before(out, F.col("reserved"), arena, "seq", "raw")
     out = out.withColumn("start", (F.col("raw") + F.col("align") - 1).bitwiseAND(F.bitwise_not(F.col("align") - 1)))
     return out.withColumn("fits", F.col("start") + F.col("size") <= capacity)
 
@@ -83,6 +83,20 @@ def slab_replay(ops: DataFrame, capacity: int) -> DataFrame:
     return ops.groupBy("pool", "class").applyInPandas(replay, "pool BIGINT, class INT, seq BIGINT, op STRING, offset BIGINT")
 
 
+def slab_report(spark: SparkSession, capacity: int) -> DataFrame:
+    """One row: allocated (a pool's slots of the first class until none is left), recycled (those that are handed out again after
+    every other slot came back)."""
+    n = capacity // (SLAB_CLASSES[0][2] * SLAB_CLASSES[0][3]) * SLAB_CLASSES[0][3]
+    fixed = "CAST(0 AS BIGINT) AS pool", "0 AS class"
+    first = slab_replay(spark.range(n + 1).selectExpr(*fixed, "id AS seq", "'alloc' AS op", "CAST(NULL AS BIGINT) AS offset"), capacity)
+    held = first.where("offset IS NOT NULL")
+    back = held.where("seq % 2 = 0").select("pool", "class", (F.col("seq") + n + 1).alias("seq"), F.lit("free").alias("op"), "offset")
+    every = first.select("pool", "class", "seq", "op", F.lit(None).cast("bigint").alias("offset")).unionByName(back)
+    every = every.unionByName(spark.range(n + 1).selectExpr(*fixed, f"id + {2 * n + 2} AS seq", "'alloc' AS op", "CAST(NULL AS BIGINT) AS offset"))
+    got = slab_replay(every, capacity).where("op = 'alloc' AND offset IS NOT NULL")
+    return got.agg(F.count_if(F.col("seq") <= n).alias("allocated"), F.count_if(F.col("seq") > n).alias("recycled"))
+
+
 def reclaimable(current_era: Column, retired_era: Column, least_active: Column) -> Column:
     """Whether what was retired can go: without readers one era later, with readers two, all of them past it."""
     age = current_era - retired_era

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import CacheCapacityExceeded, InvalidParameter, require
+from ..functions.names import free_name
 
 # Least capacity, grid cell, and the slot class of the cache (slot bytes, slots in a chunk).
 LEAST_CAPACITY, CELL, SLOT, CHUNK_SLOTS = 4096, 8, 48, 83
@@ -35,14 +36,16 @@ def match_prefix(cached: DataFrame, queries: DataFrame) -> DataFrame:
 
     The cached lengths cut each query into candidates that meet the cache by hash and are compared in full.
     """
-    lengths = cached.agg(F.coalesce(F.collect_set(F.size("tokens")), F.array().cast("array<int>")).alias("_lengths"))  # one row
-    asked = queries.select(F.col("tokens").alias("_q")).dropna().distinct()
-    cut = asked.crossJoin(F.broadcast(lengths)).select("_q", F.explode(F.filter("_lengths", lambda k: (k > 0) & (k <= F.size("_q")))).alias("_k"))
-    cut = cut.select("_q", "_k", F.slice("_q", F.lit(1), F.col("_k")).alias("_p")).withColumn("_h", F.xxhash64("_p"))
-    stored = cached.select("tokens", "kv_offset").withColumn("_h", F.xxhash64("tokens"))
-    best = cut.join(stored, "_h").where("_p = tokens").groupBy("_q").agg(F.max(F.struct("_k", "kv_offset")).alias("_best"))
-    found = queries.drop("kv_offset").join(best, F.col("tokens") == F.col("_q"), "left")
-    return found.withColumn("token_len", F.col("_best._k")).withColumn("kv_offset", F.col("_best.kv_offset")).drop("_q", "_best")
+    lengths = cached.agg(F.coalesce(F.collect_set(F.size("tokens")), F.array().cast("array<int>")).alias("lengths"))  # one row
+    asked = queries.select(F.col("tokens").alias("q")).dropna().distinct()
+    cut = asked.crossJoin(F.broadcast(lengths)).select("q", F.explode(F.filter("lengths", lambda k: (k > 0) & (k <= F.size("q")))).alias("k"))
+    cut = cut.select("q", "k", F.slice("q", F.lit(1), F.col("k")).alias("p")).withColumn("h", F.xxhash64("p"))
+    stored = cached.select("tokens", "kv_offset").withColumn("h", F.xxhash64("tokens"))
+    best = cut.join(stored, "h").where("p = tokens").groupBy("q").agg(F.max(F.struct("k", "kv_offset")).alias("best"))
+    asked_for, longest = free_name(queries, "q"), free_name(queries, "best")
+    best = best.select(F.col("q").alias(asked_for), F.col("best").alias(longest))
+    found = queries.drop("kv_offset").join(best, F.col("tokens") == F.col(asked_for), "left")
+    return found.withColumn("token_len", F.col(longest)["k"]).withColumn("kv_offset", F.col(longest)["kv_offset"]).drop(asked_for, longest)
 
 
 def clock_batch(events: DataFrame, slot: str = "slot") -> DataFrame:

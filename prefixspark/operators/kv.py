@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import free_name
+
 
 def current(ops: DataFrame) -> DataFrame:
     """(key, value) after the whole log: each key's last operation, unless that deletes. One partial aggregation."""
@@ -35,13 +37,15 @@ def longest_prefix(state: DataFrame, probes: DataFrame, probe: str = "query") ->
     The stored lengths (at most one for each length of a key) cut each query into candidate keys, so the match is an
     equi-join and never compares a query with every key. The empty key is a prefix of all.
     """
-    lengths = state.agg(F.coalesce(F.collect_set(F.octet_length("key")), F.array().cast("array<int>")).alias("_lengths"))  # one row
-    asked = probes.select(F.col(probe).cast("binary").alias("_q")).dropna().distinct()
-    cut = asked.crossJoin(F.broadcast(lengths)).select("_q", F.explode(F.filter("_lengths", lambda k: k <= F.octet_length("_q"))).alias("_k"))
-    cut = cut.select("_q", "_k", F.expr("substring(_q, 1, _k)").alias("key"))
-    best = cut.join(state.select("key", "value"), "key").groupBy("_q").agg(F.max(F.struct("_k", "value")).alias("_best"))
-    found = probes.join(best, F.col(probe).cast("binary") == F.col("_q"), "left")
-    return found.withColumn("matched_bytes", F.col("_best._k")).withColumn("value", F.col("_best.value")).drop("_q", "_best")
+    lengths = state.agg(F.coalesce(F.collect_set(F.octet_length("key")), F.array().cast("array<int>")).alias("lengths"))  # one row
+    asked = probes.select(F.col(probe).cast("binary").alias("q")).dropna().distinct()
+    cut = asked.crossJoin(F.broadcast(lengths)).select("q", F.explode(F.filter("lengths", lambda k: k <= F.octet_length("q"))).alias("k"))
+    cut = cut.select("q", "k", F.expr("substring(q, 1, k)").alias("key"))
+    best = cut.join(state.select("key", "value"), "key").groupBy("q").agg(F.max(F.struct("k", "value")).alias("best"))
+    asked_for, longest = free_name(probes, "q"), free_name(probes, "best")
+    best = best.select(F.col("q").alias(asked_for), F.col("best").alias(longest))
+    found = probes.join(best, F.col(probe).cast("binary") == F.col(asked_for), "left")
+    return found.withColumn("matched_bytes", F.col(longest)["k"]).withColumn("value", F.col(longest)["value"]).drop(asked_for, longest)
 
 
 def stats(state: DataFrame) -> DataFrame:

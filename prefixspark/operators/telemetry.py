@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import free_name
+from .running import row_before, sum_before
+
 # The ring's capacity, the pump's batch and lines, and the kinds that it leaves out.
 RING_CAPACITY, PUMP_BATCH, PUMP_LINES = 4096, 64, 6
 QUIET = ("CasContention", "TreeHit")
@@ -24,11 +27,11 @@ def hit_rate(hits: Column, misses: Column) -> Column:
 
 def rates(samples: DataFrame, counter: str, ts: str = "ts", by: str | None = None) -> DataFrame:
     """``samples`` of a rising counter with ``rate`` a second since the sample before; samples closer than 100 ms have none."""
-    w = Window.partitionBy(by if by else F.lit(0)).orderBy(ts)
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    gap = (micros - F.lag(micros).over(w)) / 1e6
-    rise = F.greatest(F.col(counter) - F.lag(counter).over(w), F.lit(0))
-    return samples.withColumn("rate", F.when(gap >= LEAST_SAMPLE_MS / 1000, rise / gap))
+    micros, before = free_name(samples, "micros"), free_name(samples, "before")
+    seen = row_before(samples.withColumn(micros, F.unix_micros(F.col(ts).cast("timestamp"))), [micros, counter], by, micros, before)
+    gap = (F.col(micros) - F.col(before)[micros]) / 1e6
+    rise = F.greatest(F.col(counter) - F.col(before)[counter], F.lit(0))
+    return seen.withColumn("rate", F.when(gap >= LEAST_SAMPLE_MS / 1000, rise / gap)).drop(micros, before)
 
 
 def rates_per_hour(events: DataFrame, kind: str = "event_type", ts: str = "ts") -> DataFrame:
@@ -38,7 +41,7 @@ def rates_per_hour(events: DataFrame, kind: str = "event_type", ts: str = "ts")
 
 def ring(events: DataFrame, interval: str, order: str, capacity: int = RING_CAPACITY) -> DataFrame:
     """``events`` with ``kept``: between two drains a full ring drops what comes. ``interval`` names the drain."""
-    return events.withColumn("kept", F.row_number().over(Window.partitionBy(interval).orderBy(order)) <= capacity)
+    return sum_before(events, F.lit(1), interval, order, "kept").withColumn("kept", F.col("kept") < capacity)
 
 
 def pump(events: DataFrame, order: str, kind: str = "kind") -> DataFrame:

@@ -107,3 +107,11 @@ def test_replay_by_cache(spark):
     ops = spark.createDataFrame(rows, f"cache_id BIGINT, {CACHE_OPS}")
     got = {(r["cache_id"], r["seq"]): (r["token_len"], r["kv_offset"], r["evicted"]) for r in C.replay(ops, 4096).collect()}
     assert got == {(0, 0): (None, None, None), (0, 1): (2, 5, None), (0, 2): (None, None, 0), (0, 3): (None, None, 1), (0, 4): (None, None, None), (1, 0): (None, None, None)}
+
+
+def test_names_that_clash(spark):
+    names = ["q", "best", "k", "h", "p", "lengths", "_q"]
+    asked = spark.createDataFrame([([1, 2, 3], *range(7))], "tokens ARRAY<BIGINT>, " + ", ".join(f"{n} INT" for n in names))
+    stored = spark.createDataFrame([([1, 2], 5)], "tokens ARRAY<BIGINT>, kv_offset BIGINT")
+    found = C.match_prefix(stored, asked)
+    assert found.columns == ["tokens", *names, "token_len", "kv_offset"] and tuple(found.first())[1:] == (*range(7), 2, 5)

@@ -85,3 +85,10 @@ def test_radix_nodes(spark):
 def test_nibbles(spark, key, want):
     df = spark.createDataFrame([(bytearray(key),)], "key BINARY")
     assert [r["nibble"] for r in radix.key_nibbles(df).orderBy("position").collect()] == want
+
+
+def test_names_that_clash(spark):
+    names = ["query", "q", "best", "k", "key", "lengths", "_q", "_best"]
+    probes = spark.createDataFrame([(bytearray(b"abc"), 1, 2, 3, 4, 5, 6, 7)], "query BINARY, " + ", ".join(f"{n} INT" for n in names[1:]))
+    found = kv.longest_prefix(state(spark, {b"ab": 9}), probes)
+    assert found.columns == [*names, "matched_bytes", "value"] and tuple(found.first())[1:] == (1, 2, 3, 4, 5, 6, 7, 2, 9)
