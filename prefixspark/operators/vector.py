@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 from ..errors import InvalidParameter, VectorDimensionMismatch, require
 from ..functions.distance import distances, l2_sq, matrix
 from ..functions.rng import Xorshift64Star
+from .running import sum_before
 
 # Codes in a sub-space, and the rounds of training.
 CODES, TRAIN_ROUNDS = 256, 24
-#: Queries that are sent to all vectors at once, and postings that one task scans.
+#: Queries that are sent to all vectors at once or meet a part of a list in one task, and postings that one task scans.
 QUERY_BLOCK, POSTING_ROWS = 4096, 500_000
 #: Tasks whose partial sums the driver adds up itself; those of more are first summed by key.
 DIRECT_TASKS = 64
@@ -34,14 +35,18 @@ def _top(query_ids: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int) -> tuple
 
 
 def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", digits: int | None = None) -> DataFrame:
-    """(query_id, rank, id, distance): the k nearest vectors of each query (query_id, vec). Queries go out in blocks; each task
-    keeps k of its own, so k rows a task and query are shuffled."""
+    """(query_id, rank, id, distance): the k nearest vectors of each query (query_id, vec). Queries go out in blocks by a hash of their
+    id, of which the driver holds one at a time; each task keeps k of its own, so k rows a task and query are shuffled."""
     require(k >= 0, "k must not be negative")
-    rows = [(r["query_id"], r["vec"]) for r in queries.select("query_id", "vec").collect()]
+    asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), "vec")
+    n_blocks = -(-asked.count() // QUERY_BLOCK)
     spark, schema = vectors.sparkSession, "query_id BIGINT, id BIGINT, distance DOUBLE"
     out = spark.createDataFrame([], schema)
-    for i in range(0, len(rows), QUERY_BLOCK):
-        qs = spark.sparkContext.broadcast((np.array([q for q, _ in rows[i : i + QUERY_BLOCK]]), np.array([v for _, v in rows[i : i + QUERY_BLOCK]], float)))
+    for b in range(n_blocks):
+        block = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b).collect()
+        if not block:
+            continue
+        qs = spark.sparkContext.broadcast((np.array([r["query_id"] for r in block]), np.array([r["vec"] for r in block], float)))
 
         def run(batches: Iterator[pa.RecordBatch], qs=qs) -> Iterator[pa.RecordBatch]:
             q_ids, points = qs.value
@@ -54,7 +59,7 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "ve
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["query_id", "id", "distance"])
 
         found = vectors.select(F.col(id_col).cast("bigint"), vec_col).mapInArrow(run, schema)
-        out = found if len(rows) <= QUERY_BLOCK else out.unionByName(found)
+        out = found if n_blocks == 1 else out.unionByName(found)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
@@ -75,16 +80,9 @@ def nearest(vectors: DataFrame, points: np.ndarray, vec_col: str = "embedding",
 
 
 def with_index(rows: DataFrame, order: str) -> DataFrame:
-    """``rows`` with ``index`` from 0 in the order of a column, without gathering them: places within partitions of a range
-    sort, plus the counts of the partitions before."""
-    ordered = rows.orderBy(order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()).persist()
-    counts = {r["_p"]: r["n"] for r in ordered.groupBy("_p").agg(F.count("*").alias("n")).collect()}
-    starts, total = [], 0
-    for p in sorted(counts):
-        starts.append((p, total))
-        total += counts[p]
-    offsets = F.broadcast(rows.sparkSession.createDataFrame(starts, "_p INT, _start BIGINT"))
-    return ordered.join(offsets, "_p").withColumn("index", F.col("_start") + F.col("_m") - F.shiftleft(F.col("_p").cast("bigint"), 33)).drop("_p", "_m", "_start")
+    """``rows`` with ``index`` from 0 in the order of a column of different numbers, without gathering them: the count of the rows
+    before, by ranges of the column. Nothing depends on partitions, so a row that is computed again has its number again."""
+    return sum_before(rows, F.lit(1).cast("bigint"), None, order, "index")
 
 
 def _check(rows: int, dimension: int, k: int, rounds: int) -> None:
@@ -97,17 +95,17 @@ def _rows_at(indexed: DataFrame, wanted: list[int], vec_col: str) -> np.ndarray:
     return np.array([found[i] for i in wanted], float)
 
 
-def train_kmeans(indexed: DataFrame, spaces: list[slice], k: int, rounds: int, seeds: list[int], vec_col: str = "vec") -> list[np.ndarray]:
+def train_kmeans(indexed: DataFrame, spaces: list[slice], k: int, rounds: int, seeds: list[int], vec_col: str = "vec", start: list[np.ndarray] | None = None) -> list[np.ndarray]:
     """Lloyd's k-means in several slices of the vectors at once; ``indexed`` has ``index`` (0 to n - 1).
 
-    Each slice draws k different rows by its seed, stops when no assignment changes, and draws a row anew for an empty cluster.
+    Each slice draws k different rows by its seed (or has its points in ``start``), stops when no assignment changes, and draws a row anew for an empty cluster.
     A round is one pass for all slices; tasks send sums by centroid, which are summed by key.
     """
     n = indexed.count()
     dimension = len(indexed.select(vec_col).first()[0]) if n else 0
     _check(n, dimension, k, rounds)
     rngs = [Xorshift64Star(s) for s in seeds]
-    points = [_rows_at(indexed, rng.distinct(k, n), vec_col)[:, s] for rng, s in zip(rngs, spaces, strict=True)]
+    points = [np.array(p, float) for p in start] if start is not None else [_rows_at(indexed, rng.distinct(k, n), vec_col)[:, s] for rng, s in zip(rngs, spaces, strict=True)]
     before: list[np.ndarray | None] = [None] * len(spaces)
     active = list(range(len(spaces)))
     context = indexed.sparkSession.sparkContext
@@ -317,14 +315,18 @@ def search(posted: DataFrame, model: IvfModel, queries: DataFrame, k: int, digit
     """(query_id, rank, id, distance): each query's k nearest in the list it is routed to (or its ``n_probe`` nearest lists), by its
     residual's table.
 
-    Lists above ``POSTING_ROWS`` are cut by id hash, with the list's queries copied to each part; a part keeps k rows a query.
+    Lists above ``POSTING_ROWS`` are cut by id hash, and a list's queries above ``QUERY_BLOCK`` by theirs; a task has one part of
+    each and keeps k rows a query.
     """
     require(k >= 0, "k must not be negative")
     sent = posted.sparkSession.sparkContext.broadcast(model)
     routed = routes(queries, model, n_probe).drop("exact")
     sizes = posted.groupBy("centroid").agg(F.ceil(F.count("*") / POSTING_ROWS).cast("int").alias("parts"))  # a row for each centroid
-    dealt = posted.join(F.broadcast(sizes), "centroid").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
-    asked = routed.join(F.broadcast(sizes), "centroid").select("query_id", "vec", "centroid", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    crowds = routed.groupBy("centroid").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))  # a row for each centroid
+    of = F.broadcast(sizes.join(F.broadcast(crowds), "centroid"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = posted.join(of, "centroid").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("block", every("blocks")).drop("parts", "blocks")
+    asked = routed.join(of, "centroid").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")).select("query_id", "vec", "centroid", "block", every("parts").alias("part"))
 
     def scan(qs: pd.DataFrame, ps: pd.DataFrame) -> pd.DataFrame:
         if not len(qs) or not len(ps):
@@ -339,7 +341,8 @@ def search(posted: DataFrame, model: IvfModel, queries: DataFrame, k: int, digit
         q, i, d = (np.concatenate(c) for c in zip(*out, strict=True))
         return pd.DataFrame({"query_id": q, "id": i, "distance": d})
 
-    found = asked.groupBy("centroid", "part").cogroup(dealt.groupBy("centroid", "part")).applyInPandas(scan, "query_id BIGINT, id BIGINT, distance DOUBLE")
+    by = ["centroid", "part", "block"]
+    found = asked.groupBy(*by).cogroup(dealt.groupBy(*by)).applyInPandas(scan, "query_id BIGINT, id BIGINT, distance DOUBLE")
     return _ranked(found, k)
 
 
@@ -378,12 +381,15 @@ class IvfIndex:
         return self.catalog.publish(model, postings(journal, model))
 
     def insert(self, vectors: DataFrame) -> None:
-        """Append vectors (vec); ids go on from the journal's count."""
+        """Append vectors (vec); ids go on from the journal's count. The vectors are written with an order of their own before
+        they are numbered, and posted from the journal, so a lost executor can't give one two numbers."""
         model, start = self._model(), self.vector_count()
         bad = vectors.where(F.size("vec") != self.config.dimension).limit(1).count()
         require(not bad, "vectors differ from the index's dimension", VectorDimensionMismatch)
-        numbered = with_index(vectors.withColumn("_o", F.monotonically_increasing_id()), "_o").select((F.col("index") + start).alias("id"), F.col("vec").cast("array<float>").alias("vec"))
-        self.catalog.append(numbered, postings(numbered, model))
+        staged = self.catalog.stage(vectors.select(F.monotonically_increasing_id().alias("place"), F.col("vec").cast("array<float>").alias("vec")))
+        self.catalog.append_journal(with_index(staged, "place").select((F.col("index") + start).alias("id"), "vec"))
+        self.catalog.append_postings(postings(self.catalog.journal().where(F.col("id") >= start), model))
+        self.catalog.drop_stage()
 
     def vector_count(self) -> int:
         require(self.is_trained, "the index is not trained")

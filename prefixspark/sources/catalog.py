@@ -9,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.vector import IvfModel
 from ..schemas import JOURNAL, POSTINGS
@@ -22,7 +23,7 @@ class Catalog:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
 
-    def _read(self, name: str, schema: str) -> DataFrame:
+    def _read(self, name: str, schema: str | StructType) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if self._has(name) else self.spark.createDataFrame([], schema)
 
     def current(self) -> int | None:
@@ -45,8 +46,19 @@ class Catalog:
         self.spark.createDataFrame([(generation,)], "generation INT").coalesce(1).write.mode("append").parquet(f"{self.path}/pointer")
         return generation
 
-    def append(self, vectors: DataFrame, posted: DataFrame) -> None:
+    def stage(self, rows: DataFrame) -> DataFrame:
+        """``rows`` written and read again: the same rows however often they are read."""
+        rows.write.mode("overwrite").parquet(f"{self.path}/stage")
+        return self._read("stage", rows.schema)
+
+    def drop_stage(self) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/stage")
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def append_journal(self, vectors: DataFrame) -> None:
         vectors.write.mode("append").parquet(f"{self.path}/journal")
+
+    def append_postings(self, posted: DataFrame) -> None:
         posted.write.mode("append").partitionBy("centroid").parquet(f"{self.path}/gen={self.current()}/postings")
 
     def model(self, generation: int) -> IvfModel:

@@ -30,9 +30,10 @@ def append_vectors(vectors: DataFrame, index, checkpoint: str):
 
     def batch(df: DataFrame, _: int) -> None:
         fresh = df.dropDuplicates(["id"]).join(index.catalog.journal().select("id"), "id", "left_anti")
-        rows = fresh.select(F.col("id").cast("bigint"), F.col("vec").cast("array<float>").alias("vec")).persist()
-        index.catalog.append(rows, postings(rows, index.catalog.model(index.catalog.current())))
-        rows.unpersist()
+        rows = index.catalog.stage(fresh.select(F.col("id").cast("bigint"), F.col("vec").cast("array<float>").alias("vec")))
+        index.catalog.append_journal(rows)
+        index.catalog.append_postings(postings(rows, index.catalog.model(index.catalog.current())))
+        index.catalog.drop_stage()
 
     return vectors.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

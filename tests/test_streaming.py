@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from prefixspark.operators import cache, vector
@@ -17,7 +18,9 @@ def drain(df, spark, name, tmp_path, mode="append"):
 
 def test_hourly_rates_and_sessions(spark, tmp_path):
     whole = spark.read.parquet(f"{SF}/events.parquet")
-    whole.repartitionByRange(3, "ts").write.parquet(f"file://{tmp_path}/in")
+    part = F.ntile(3).over(Window.orderBy("ts", "event_id"))
+    for i in (1, 2, 3):  # one file after the other, in order of time: a stream takes files by their time of writing
+        whole.withColumn("part", part).where(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
     stream = lambda: spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
     got = drain(jobs.hourly_rates(stream()), spark, "rates", tmp_path, "complete")
     want = whole.groupBy(F.date_trunc("hour", "ts").alias("h"), "event_type").count()
@@ -25,10 +28,21 @@ def test_hourly_rates_and_sessions(spark, tmp_path):
     assert drain(jobs.sessions(stream()), spark, "sessions", tmp_path, "complete").agg(F.sum("n")).first()[0] == whole.count()
 
 
+def test_late_rows(spark, tmp_path):
+    """A row behind the watermark is dropped, one within it counts. Rows are held against the watermark that the batch before had."""
+    at = lambda rows: spark.createDataFrame(rows, "ts string, user_id long, event_type string").withColumn("ts", F.to_timestamp_ntz("ts")).coalesce(1)
+    files = [[("2024-01-01 10:00:00", 1, "a")], [("2024-01-01 12:00:00", 1, "a")], [("2024-01-01 12:01:00", 4, "a")], [("2024-01-01 10:05:00", 1, "a"), ("2024-01-01 11:55:00", 2, "a")], [("2024-01-01 20:00:00", 3, "a")], [("2024-01-01 20:01:00", 3, "a")]]
+    for rows in files:
+        at(rows).write.mode("append").parquet(f"file://{tmp_path}/files")
+    stream = spark.readStream.schema(at(files[0]).schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/files")
+    got = drain(jobs.hourly_rates(stream), spark, "late", tmp_path)
+    assert sorted((r["window"]["start"].hour, r["n"]) for r in got.collect()) == [(10, 1), (11, 1), (12, 2)]
+
+
 def test_clock_stream_equals_batch(spark, tmp_path):
     ops = cache_ops(spark, SF)
     want = sorted(map(str, cache.replay(ops, 4096).collect()))
-    files = ops.withColumn("part", F.ntile(3).over(__import__("pyspark").sql.Window.orderBy("seq")))
+    files = ops.withColumn("part", F.ntile(3).over(Window.orderBy("seq")))
     for i in (1, 2, 3):
         files.where(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/ops")
     stream = spark.readStream.schema(ops.schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/ops")
