@@ -10,8 +10,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .errors import InvalidParameter, require
+from .functions import bits
 from .functions.rng import Xorshift64Star
-from .operators import kv, wal
+from .operators import kv, radix, wal
 from .operators.cache import ClockCache
 from .operators.vector import IvfConfig, IvfIndex
 from .schemas import KV_OPS
@@ -19,15 +20,23 @@ from .sources.catalog import Catalog
 
 # Commands, the shell's index, and its generator's seed.
 COMMANDS = ("kv-insert", "kv-get", "kv-delete", "inspect-pointer", "inspect-arena", "vec-train", "vec-insert", "vec-search", "kvcache-insert", "kvcache-match", "wal-flush", "status", "help", "exit")
+#: What each command takes; the others take nothing.
+ARGUMENTS = {"kv-insert": "<key> <value>", "kv-get": "<key>", "kv-delete": "<key>", "vec-train": "<samples>", "vec-search": "<top-k>", "kvcache-insert": "<tokens> <kv-offset>"}
 DIMENSION, SUB_VECTORS, CENTROIDS, SEED = 64, 4, 16, 0x1A7EF1A7
 MOST_VALUE = (1 << 64) - 1
 
 
+def _number(text: str, what: str) -> int:
+    require(text.isdecimal(), f"{what} must be a number")
+    return int(text)
+
+
 @dataclass
 class Session:
     spark: SparkSession
     folder: str
     capacity: int = 1 << 16
+    arena_bytes: int = 1 << 26
     ops: list[tuple] = field(default_factory=list)
     log: bytes = b""
     flushes: int = 0
@@ -45,6 +54,9 @@ class Session:
             return ""
         name, args = ("exit" if words[0] == "quit" else words[0]), words[1:]
         require(name in COMMANDS, f"unknown command: {name}")
+        wanted = ARGUMENTS.get(name, "").split()
+        require(bool(wanted) or not args, f"unexpected arguments: {' '.join(args)}")
+        require(len(args) == len(wanted), f"usage: {name} {' '.join(wanted)}")
         return None if name == "exit" else getattr(self, name.replace("-", "_"))(*args)
 
     def _state(self):
@@ -71,18 +83,27 @@ class Session:
         return f"deleted '{key}': {self._put('del', key, None) is not None}"
 
     def inspect_pointer(self) -> str:
-        return f"root: {self._state().count()} keys"
+        """The root's word: the type of a node that has its children, and how many keys it covers as the offset; 0 without keys."""
+        root = radix.nodes(self._state()).where("depth = 0").select("family").first()
+        if root is None:
+            return f"root word: 0x{0:016x}"
+        word = bits.pack_pointer(F.lit(bits.NODE_TYPES.index(root["family"])), F.lit(self._state().count()), F.lit(0), F.lit(False), F.lit(0))
+        return f"root word: 0x{self.spark.range(1).select(word).first()[0] & MOST_VALUE:016x}"
+
+    def _frontier(self) -> int:
+        """Bytes that all insertions and flushes have taken, on eights: what is deleted or replaced gives none back."""
+        return sum(-(-(len(key) + 8) // 8) * 8 for _, op, key, _ in self.ops if op == "put") + 8 * self.flushes
 
     def inspect_arena(self) -> str:
-        used = self._state().agg(F.coalesce(F.sum(F.octet_length("key") + 8), F.lit(0))).first()[0]
-        return f"arena: {used} bytes of keys and values"
+        used = self._frontier()
+        return f"arena frontier: {used} of {self.arena_bytes} bytes, {max(self.arena_bytes - used, 0)} left"
 
     def _vectors(self, n: int):
         rows = [(i, [self.rng.next_f32() for _ in range(DIMENSION)]) for i in range(n)]
         return self.spark.createDataFrame(rows, "id BIGINT, vec ARRAY<FLOAT>")
 
     def vec_train(self, count: str) -> str:
-        require(int(count) >= 256, "training needs at least 256 samples")
+        require(_number(count, "samples") >= 256, "too few samples to fill a codebook of 256")
         self.index.train(self._vectors(int(count)))
         return f"trained on {count} x {DIMENSION}-dim samples"
 
@@ -91,18 +112,18 @@ class Session:
         return f"inserted vector #{self.index.vector_count()} ({DIMENSION} dims)"
 
     def vec_search(self, top_k: str) -> str:
-        hits = self.index.search(self._vectors(1).withColumnRenamed("id", "query_id"), int(top_k)).orderBy("rank").collect()
+        hits = self.index.search(self._vectors(1).withColumnRenamed("id", "query_id"), _number(top_k, "top-k")).orderBy("rank").collect()
         return f"top-{top_k} results: {[(r['id'], float(np.float32(r['distance']))) for r in hits]}"
 
     def kvcache_insert(self, count: str, offset: str) -> str:
-        tokens = [self.rng.next_u64() & 0xFFFF for _ in range(int(count))]
-        self.cache.insert(tokens, int(offset))
+        tokens = [self.rng.next_u64() & 0xFFFF for _ in range(_number(count, "tokens"))]
+        self.cache.insert(tokens, _number(offset, "kv-offset"))
         self.last_tokens = tokens
         return f"cached {count} tokens -> offset {offset}"
 
     def kvcache_match(self) -> str:
         if not self.last_tokens:
-            return "no prefix cached yet"
+            return "nothing is cached so far"
         return f"prefix match: {self.cache.match(self.last_tokens)}"
 
     def wal_flush(self) -> str:
@@ -116,7 +137,7 @@ class Session:
 
     def status(self) -> str:
         trained = self.index.is_trained
-        lines = [f"radix tree   : {self._state().count()} keys", f"ivf-pq index : trained={trained} vectors={self.index.vector_count() if trained else 0} (dim {DIMENSION})"]
+        lines = [f"radix tree   : {self._state().count()} keys, frontier {self._frontier()} of {self.arena_bytes} bytes", f"ivf-pq index : trained={trained} vectors={self.index.vector_count() if trained else 0} (dim {DIMENSION})"]
         lines += [f"kv-cache     : {self.capacity} bytes, {self.cache.grid} slots", f"wal sink     : {self.flushes} frames, {len(self.log)} bytes"]
         return "\n".join(lines)
 
