@@ -161,18 +161,9 @@ def kv_stats(spark, sf_dir):
     return kv.stats(kv.current(_ops(spark, sf_dir)))
 
 
-@query(f"""WITH {_NODES.replace('bit_count(', '(', 1)}, probes AS (SELECT DISTINCT path, nib FROM nodes, range(16) t(nib) WHERE depth < 22)
-SELECT path, nib::INT AS nibble, CASE WHEN (n >> nib) & 1 = 1 THEN bit_count(n & ((1 << nib) - 1))::INT END AS rank, CASE WHEN (n >> nib) & 1 = 1 THEN path || substr('0123456789ABCDEF', nib + 1, 1) END AS child FROM probes JOIN nodes USING (path)""")
-def radix_lookup_child(spark, sf_dir):
-    """All sixteen children of each node above the digits."""
-    nodes = radix.nodes(table(spark, sf_dir, "customer").select(kv.as_key(F.col("c_name")).alias("key")).distinct())
-    probes = nodes.where("depth < 22").select("path", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("nibble"))
-    return radix.lookup_child(nodes, probes).select("path", "nibble", "rank", "child")
-
-
 @query(f"""WITH {_NODES.replace('bit_count(', '(', 1)}
 SELECT path, nib::INT AS nibble, CASE WHEN (n >> nib) & 1 = 1 THEN bit_count(n & ((1 << nib) - 1))::INT END AS rank, CASE WHEN (n >> nib) & 1 = 1 THEN path || substr('0123456789ABCDEF', nib + 1, 1) END AS child FROM nodes, range(16) t(nib)""")
-def radix_lookup_every_child(spark, sf_dir):
+def radix_lookup_child(spark, sf_dir):
     """All sixteen children of each node of all depths, branching nodes and leaves too."""
     nodes = radix.nodes(table(spark, sf_dir, "customer").select(kv.as_key(F.col("c_name")).alias("key")).distinct())
     probes = nodes.select("path", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("nibble"))
@@ -202,7 +193,14 @@ def access_bounds(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", ok.alias("ok"))
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT user_id, event_id, event_type = 'error' AS back, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+s AS (
+  SELECT DISTINCT user_id, 0::BIGINT AS k, []::BIGINT[] AS stack, 0::BIGINT AS chunks, NULL::BIGINT AS got, NULL::BIGINT AS event_id, false AS back FROM o
+  UNION ALL
+  SELECT user_id, k, CASE WHEN back THEN list_append(whole, 48::BIGINT) ELSE whole[1:len(whole) - 1] END, chunks + opened::BIGINT, CASE WHEN back THEN 48 ELSE whole[len(whole)] END, event_id, back
+  FROM (SELECT *, CASE WHEN opened THEN list_transform(range(83), lambda i: chunks * 3984 + i * 48) ELSE stack END AS whole
+        FROM (SELECT o.user_id, o.k, o.event_id, o.back, s.stack, s.chunks, NOT o.back AND len(s.stack) = 0 AND (s.chunks + 1) * 3984 <= 4096 AS opened FROM s JOIN o ON o.user_id = s.user_id AND o.k = s.k + 1)))
+SELECT user_id AS pool, 0::INT AS class, event_id AS seq, CASE WHEN back THEN 'free' ELSE 'alloc' END AS op, got AS "offset" FROM s WHERE k > 0""")
 def slab_replay(spark, sf_dir):
     """Slots handed out and taken back, by user; a delete gives back the slot of the same user's first chunk."""
     ops = table(spark, sf_dir, "events").select(F.col("user_id").alias("pool"), F.lit(0).alias("class"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "free").otherwise("alloc").alias("op"), F.lit(48).cast("bigint").alias("offset"))
@@ -265,13 +263,20 @@ def kmeans_inertia(spark, sf_dir):
     return found.agg(F.count("*").alias("n"), F.round(F.sum("distance"), 3).alias("inertia"))
 
 
-def _means(assigned: DataFrame) -> DataFrame:
-    each = assigned.select("centroid", F.posexplode("embedding").alias("i", "x"))
-    return each.groupBy("centroid", "i").agg(F.count("*").alias("n"), F.avg(F.col("x").cast("double")).alias("mean"))
+def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector.with_index(_vectors(spark, sf_dir), "vec_id").select("index", F.col("embedding").alias("vec"))
 
 
-def _one_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _means(vector.nearest(_vectors(spark, sf_dir), _first(spark, sf_dir, 16)))
+def _trained(spark: SparkSession, sf_dir: str, rounds: int) -> DataFrame:
+    """(centroid, i, n, mean): the trainer's points after some rounds from the first 16 vectors, and how many rows each of its last
+    round's clusters had. A cluster that no row chose would be drawn anew and so has no row."""
+    indexed = _indexed(spark, sf_dir)
+    points = [_first(spark, sf_dir, 16)]
+    for _ in range(rounds):
+        points += vector.train_kmeans(indexed, [slice(0, 64)], 16, 1, [1], start=[points[-1]])
+    sizes = vector.nearest(_vectors(spark, sf_dir), points[-2]).groupBy("centroid").agg(F.count("*").alias("n"))
+    means = spark.createDataFrame([(c, i, x) for c, p in enumerate(points[-1].tolist()) for i, x in enumerate(p)], "centroid INT, i INT, mean DOUBLE")
+    return means.join(F.broadcast(sizes), "centroid").select("centroid", "i", "n", "mean")
 
 
 _STEP = "SELECT centroid, i, count(*) AS n, avg(x::DOUBLE) AS mean FROM (SELECT centroid, unnest(embedding) AS x, (generate_subscripts(embedding, 1) - 1)::INT AS i FROM ({from_})) GROUP BY centroid, i"
@@ -280,18 +285,25 @@ _STEP1 = _STEP.format(from_=_NEAREST)
 
 @query(f"SELECT centroid, i, n, round(mean, 5) AS mean FROM ({_STEP1})")
 def kmeans_one_step(spark, sf_dir):
-    return _one_step(spark, sf_dir).withColumn("mean", F.round("mean", 5))
+    return _trained(spark, sf_dir, 1).withColumn("mean", F.round("mean", 5))
+
+
+def _next_step(number: int) -> str:
+    return f"""c{number} AS (SELECT centroid, list(mean ORDER BY i) AS m FROM step{number} GROUP BY centroid),
+near{number} AS (SELECT v.vec_id, v.embedding, c.centroid, {_D2.format(a='v.embedding', b='c.m')} AS d FROM embeddings v, c{number} c QUALIFY row_number() OVER (PARTITION BY v.vec_id ORDER BY d, c.centroid) = 1),
+step{number + 1} AS ({_STEP.format(from_=f'SELECT * FROM near{number}')})"""
 
 
-@query(f"""WITH one AS ({_STEP1}), c AS (SELECT centroid, list(mean ORDER BY i) AS m FROM one GROUP BY centroid),
-near AS (SELECT v.vec_id, v.embedding, c.centroid, {_D2.format(a='v.embedding', b='c.m')} AS d FROM embeddings v, c QUALIFY row_number() OVER (PARTITION BY v.vec_id ORDER BY d, c.centroid) = 1)
-SELECT centroid, i, n, round(mean, 5) AS mean FROM ({_STEP.format(from_='SELECT * FROM near')})""")
+@query(f"WITH step1 AS ({_STEP1}), {_next_step(1)} SELECT centroid, i, n, round(mean, 5) AS mean FROM step2")
 def kmeans_two_steps(spark, sf_dir):
-    rows = _one_step(spark, sf_dir).groupBy("centroid").agg(F.sort_array(F.collect_list(F.struct("i", "mean"))).alias("m")).orderBy("centroid").collect()  # 16 rows
-    points = np.array([[x["mean"] for x in r["m"]] for r in rows])
-    found = vector.nearest(_vectors(spark, sf_dir), points)
-    names = F.array(*(F.lit(r["centroid"]) for r in rows))
-    return _means(found.withColumn("centroid", F.get(names, F.col("centroid")))).withColumn("mean", F.round("mean", 5))
+    return _trained(spark, sf_dir, 2).withColumn("mean", F.round("mean", 5))
+
+
+@query(f"WITH step1 AS ({_STEP1}), {', '.join(map(_next_step, range(1, 5)))} SELECT centroid, i, round(mean, 5) AS mean FROM step5")
+def kmeans_trained(spark, sf_dir):
+    """Five rounds in one call of the trainer."""
+    (points,) = vector.train_kmeans(_indexed(spark, sf_dir), [slice(0, 64)], 16, 5, [1], start=[_first(spark, sf_dir, 16)])
+    return spark.createDataFrame([(c, i, x) for c, p in enumerate(points.tolist()) for i, x in enumerate(p)], "centroid INT, i INT, mean DOUBLE").withColumn("mean", F.round("mean", 5))
 
 
 def _codebook(spark: SparkSession, sf_dir: str) -> np.ndarray:
@@ -467,7 +479,27 @@ def cache_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select((F.col("conv_id") % 16).alias("cache_id"), (F.col("conv_id") * 10 + F.col("turn")).alias("seq"), op.alias("op"), key.alias("tokens"), (F.col("conv_id") * 10 + F.col("turn") + 1).alias("kv_offset"), F.lit(512).alias("steps"))
 
 
-@query()
+# A full sweep looks at all cells, so the hand is always back at the first.
+_SWEPT_LIVE = "list_transform(list_filter({live}, lambda e: e.mark > 0), lambda e: {{'cell': e.cell, 'key': e.key, 'kv': e.kv, 'mark': e.mark - 1, 'own': e.own}})"
+_SWEPT_FREE = "list_concat({free}, list_transform(list_filter({live}, lambda e: e.mark = 0), lambda e: e.cell))"
+_REPLAY = f"""ops AS (SELECT conv_id % 16 AS cache_id, conv_id * 10 + turn AS seq, CASE WHEN turn % 8 = 7 THEN 'sweep' WHEN turn % 2 = 0 THEN 'insert' ELSE 'match' END AS op,
+  CASE WHEN turn % 8 <> 7 AND turn % 2 = 0 THEN tokens[1:3 + turn] ELSE tokens END AS tokens, conv_id * 10 + turn + 1 AS kv, row_number() OVER (PARTITION BY conv_id % 16 ORDER BY conv_id * 10 + turn) AS k FROM tokens),
+s AS (
+  SELECT DISTINCT cache_id, 0::BIGINT AS k, []::BIGINT[] AS free, 0::BIGINT AS chunks, []::STRUCT(cell BIGINT, key BIGINT[], kv BIGINT, mark BIGINT, own BOOLEAN)[] AS live, NULL::BIGINT AS seq, NULL::VARCHAR AS op, NULL::BIGINT AS token_len, NULL::BIGINT AS kv_offset, NULL::BIGINT AS evicted FROM ops
+  UNION ALL
+  SELECT cache_id, k, CASE WHEN op = 'insert' THEN f3[1:len(f3) - 1] ELSE f3 END, chunks + opened::BIGINT,
+    CASE op WHEN 'insert' THEN list_sort(list_append(list_transform(l2, lambda e: {{'cell': e.cell, 'key': e.key, 'kv': e.kv, 'mark': e.mark, 'own': e.own AND e.key <> tokens}}), {{'cell': f3[len(f3)], 'key': tokens, 'kv': kv, 'mark': 1::BIGINT, 'own': true}}))
+            WHEN 'match' THEN list_transform(l2, lambda e: {{'cell': e.cell, 'key': e.key, 'kv': e.kv, 'mark': CASE WHEN e.cell = best.cell THEN 1 ELSE e.mark END, 'own': e.own}}) ELSE l2 END,
+    seq, op, CASE WHEN op = 'match' THEN len(best.key) END, CASE WHEN op = 'match' THEN best.kv END, CASE WHEN op = 'sweep' THEN len(live) - len(l1) END
+  FROM (SELECT *, op = 'insert' AND len(f2) = 0 AS opened, CASE WHEN op = 'insert' AND len(f2) = 0 THEN list_transform(range(83), lambda i: (chunks * 3984 + i * 48) // 8) ELSE f2 END AS f3,
+          list_sort(list_transform(list_filter(l2, lambda e: e.own AND tokens[1:len(e.key)] = e.key), lambda e: {{'n': len(e.key), 'e': e}}), 'DESC')[1].e AS best
+        FROM (SELECT *, CASE WHEN full_ THEN {_SWEPT_LIVE.format(live='l1')} ELSE l1 END AS l2, CASE WHEN full_ THEN {_SWEPT_FREE.format(free='f1', live='l1')} ELSE f1 END AS f2
+              FROM (SELECT *, CASE WHEN full_ OR op = 'sweep' THEN {_SWEPT_LIVE.format(live='live')} ELSE live END AS l1, CASE WHEN full_ OR op = 'sweep' THEN {_SWEPT_FREE.format(free='free', live='live')} ELSE free END AS f1
+                    FROM (SELECT o.cache_id, o.k, o.seq, o.op, o.tokens, o.kv, s.free, s.chunks, s.live, o.op = 'insert' AND len(s.free) = 0 AND (s.chunks + 1) * 3984 > 4096 AS full_
+                          FROM s JOIN ops o ON o.cache_id = s.cache_id AND o.k = s.k + 1)))))"""
+
+
+@query(f"WITH RECURSIVE {_TOKENS}, {_REPLAY} SELECT cache_id, seq, op, token_len, kv_offset, evicted FROM s WHERE k > 0")
 def cache_replay(spark, sf_dir):
     return cache.replay(cache_ops(spark, sf_dir), 4096)
 
@@ -478,14 +510,14 @@ def cache_replay(spark, sf_dir):
 def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten events are a transaction, its last one the parent; a hundred are a log."""
     op = (F.col("event_id") % 3).cast("tinyint")
-    payload = F.when(op == 2, F.encode(F.substring("props", 1, 8), "UTF-8")).otherwise(wal.region_payload(F.col("user_id")))
+    payload = F.when(op == 2, F.encode("props", "UTF-8")).otherwise(wal.region_payload(F.col("user_id")))
     return table(spark, sf_dir, "events").select(
         "event_id", F.floor(F.col("event_id") / 100).alias("log_id"), F.floor(F.col("event_id") / 10).alias("tx_id"), (F.col("event_id") % 10).cast("int").alias("pos"),
         (F.col("event_id") % 10 == 9).alias("is_parent"), F.col("event_id").alias("lsn"), op.alias("opcode"), (F.col("event_id") * 7 % 997).alias("offset"), payload.alias("payload"))
 
 
 _FRAMES = """frames AS (SELECT event_id, event_id // 100 AS log_id, event_id // 10 AS tx_id, event_id % 3 AS opcode, event_id * 7 % 997 AS off,
-  CASE WHEN event_id % 3 = 2 THEN hex(encode(substr(props, 1, 8))) ELSE printf('%08X', user_id) END AS payload FROM events)"""
+  CASE WHEN event_id % 3 = 2 THEN hex(encode(props)) ELSE printf('%08X', user_id) END AS payload FROM events)"""
 
 
 @query(f"WITH {_FRAMES} SELECT event_id, printf('%08X', length(payload) // 2 + 10) || printf('%02X', opcode) || printf('%010X', off) || printf('%08X', length(payload) // 2) || payload AS frame FROM frames")
@@ -569,14 +601,39 @@ def log_pump(spark, sf_dir):
     return telemetry.pump(table(spark, sf_dir, "events"), "event_id", "event_type").select("event_id", "event_type")
 
 
-@query("SELECT 1024 AS verified, 0 AS lost")
+# The storm's operations and their values, made in SQL: FNV-1a of each key's bytes, in wide numbers.
+_STORM = """attempts AS (SELECT w, a, a % 65536 AS k FROM range(16) x(w), range(62500) y(a)),
+bytes AS (SELECT k, 'storm:' || lpad(lower(printf('%X', k)), 12, '0') AS key FROM range(65536) z(k)),
+stored AS (SELECT k, (list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(range(1, 19), lambda i: ord(key[i])::HUGEINT)), lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT) % 72057594037927936::HUGEINT)::BIGINT AS v FROM bytes),
+ops AS (SELECT k, v, 32 * a + w AS read_at, 32 * a + 16 + w AS write_at FROM attempts JOIN stored USING (k))"""
+
+
+@query(f"""WITH {_STORM}, held AS (SELECT k, arg_max(v, write_at) AS v FROM ops GROUP BY k)
+SELECT count(*) AS verified, count(*) FILTER (h.v IS DISTINCT FROM s.v) AS lost FROM stored s LEFT JOIN held h USING (k) WHERE k < least(65536, 62500)""")
 def storm_audit(spark, sf_dir):
-    return audit.storm_audit(spark, 4, 40_000, 1024)
+    return audit.storm_audit(spark, 16, 1_000_000, 65_536)
 
 
-@query("SELECT 40000 AS attempts, 0 AS contended, 0.0::DOUBLE AS rate")
+@query(f"""WITH {_STORM}, seen AS (SELECT k, write_at, moment = write_at AS writes, last_value(v IGNORE NULLS) OVER (PARTITION BY k ORDER BY moment ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS sees
+  FROM (SELECT k, read_at AS moment, write_at, NULL AS v FROM ops UNION ALL SELECT k, write_at, write_at, v FROM ops)),
+pairs AS (SELECT max(sees) FILTER (NOT writes) AS looked, max(sees) FILTER (writes) AS replaced FROM seen GROUP BY k, write_at)
+SELECT count(*) AS attempts, count(*) FILTER (looked IS DISTINCT FROM replaced) AS contended, count(*) FILTER (looked IS DISTINCT FROM replaced) * 100.0::DOUBLE / count(*) AS rate FROM pairs""")
 def storm_contention(spark, sf_dir):
-    return audit.storm_contention(audit.storm_ops(spark, 4, 40_000, 1024))
+    return audit.storm_contention(audit.storm_ops(spark, 16, 1_000_000, 65_536))
+
+
+@query("""WITH frames AS (SELECT tx, pos, 8 * tx AS off, CASE pos WHEN 0 THEN 4 ELSE 8 END AS n FROM range(512) t(tx), range(2) p(pos))
+SELECT count(DISTINCT tx) AS written, count(DISTINCT tx) FILTER (tx < 400) AS replayed, count(*) FILTER (tx < 400 AND pos = 1) AS survived, count(*) FILTER (tx < 400 AND pos = 1) = 400 AS consistent,
+  max(off + n) FILTER (tx < 400) AS high_water, sum(14 + n)::BIGINT AS log_bytes FROM frames""")
+def crash_cycle(spark, sf_dir):
+    return audit.crash_cycle(spark, 512, 400)
+
+
+@query("""WITH filled AS (SELECT i, 28 * i AS raw, (28 * i + 7) // 8 * 8 + 21 <= 1048576 AS fits FROM range(60000) t(i))
+SELECT count(*) AS inserted, max(raw + 28)::BIGINT AS frontier, 1048576::BIGINT AS capacity, count(*) FILTER (i % 97 = 0) AS verified, (65536 // 3984 * 83)::BIGINT AS allocated, (65536 // 3984 * 83 // 2)::BIGINT AS recycled FROM filled WHERE fits""")
+def pressure_audit(spark, sf_dir):
+    """An arena of 1 MiB and a slab pool of 64 KiB."""
+    return audit.pressure(spark, 1 << 20)
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 97 = 0")
