@@ -1,10 +1,11 @@
 """Temporal URL list: dated entries become validity intervals; each capture meets the entries active when it was fetched.
 
 DataFrame functions only. An entry's pattern is a host (which covers its subdomains) or a host and a path prefix by
-whole segments. Entries of a pattern are first summed by day, so a pattern has at most one row a day; ``lead`` then
+whole segments. Patterns and URLs are compared in lower case, paths too: an entry for ``a.org/en`` covers ``a.org/En``. Entries of a pattern are first summed by day, so a pattern has at most one row a day; ``lead`` then
 gives each state's end. The as-of join is an equi-join on (pattern, month) with the day's bounds checked inside,
 so a pattern with many intervals costs a capture at most a month of them. Small lists are broadcast after their
-rows are counted; larger ones are shuffled, with the captures of a pattern salted.
+rows are counted; larger ones are shuffled, with the captures of a pattern and month that has very many cut into parts by their
+number.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS
 
-SALTS = 32
+#: Captures of a pattern and month that meet its intervals in one part.
+HOT_CAPTURES = 200_000
 
 
 def host_of(url: Column) -> Column:
@@ -51,11 +53,12 @@ def with_keys(pages: DataFrame, depth: DataFrame) -> DataFrame:
     return parts.withColumn("keys", keys).select(*pages.columns, F.explode("keys").alias("pattern"))
 
 
-def filter_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", day_col: str = "fetched", salts: int = SALTS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def filter_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", day_col: str = "fetched", hot_captures: int = HOT_CAPTURES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row per input row: page_id, url, fetched, blocked, pattern (the longest active one, the first by name of
     equals), n_active (active patterns).
 
-    A null or unparsable URL, or a null day, meets no entry and is not blocked. Rows that repeat each get the verdict.
+    A null or unparsable URL, or a null day, meets no entry and is not blocked. Very long URLs are compared whole, by as many path
+    segments as the longest pattern has. Rows that repeat each get the verdict.
     An empty list blocks nothing; an empty capture table gives an empty table. Other columns are not read.
     """
     pages = captures.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(day_col).cast("date").alias("fetched"))
@@ -70,8 +73,12 @@ def filter_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page
     if monthly.limit(broadcast_rows + 1).count() <= broadcast_rows:
         met = keyed.join(F.broadcast(monthly), ["pattern", "month"])
     else:
-        salted = monthly.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        met = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(salted, ["pattern", "month", "salt"])
+        # a capture has a bounded number of keys, so keys this hot are few
+        hot = keyed.groupBy("pattern", "month").agg(F.ceil(F.count("*") / hot_captures).cast("int").alias("parts")).where("parts > 1")
+        hot = hot if hot.limit(broadcast_rows + 1).count() > broadcast_rows else F.broadcast(hot)
+        cut = lambda df: df.join(hot, ["pattern", "month"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        parts = cut(monthly).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        met = cut(keyed).withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.col("parts")).cast("int")).drop("parts").join(parts, ["pattern", "month", "part"])
     met = met.where((F.col("fetched") >= F.col("valid_from")) & F.coalesce(F.col("fetched") < F.col("valid_to"), F.lit(True)))
     best = F.min(F.struct((-F.length("pattern")).alias("l"), "pattern"))["pattern"]
     verdict = met.groupBy("page_id", "url", "fetched").agg(best.alias("pattern"), F.countDistinct("pattern").alias("n_active"))

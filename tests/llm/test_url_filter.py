@@ -44,12 +44,12 @@ def tables(spark, seed=1):
     return captures, entries
 
 
-@pytest.mark.parametrize("broadcast_rows", [100_000, 0])
-def test_matches_plain(spark, broadcast_rows):
+@pytest.mark.parametrize(("broadcast_rows", "hot_captures"), [(100_000, U.HOT_CAPTURES), (0, U.HOT_CAPTURES), (0, 3)])
+def test_matches_plain(spark, broadcast_rows, hot_captures):
     captures, entries = tables(spark)
     c = spark.createDataFrame([(*x, 1, "clash") for x in captures], "page_id long, url string, fetched date, month int, pattern string")
     e = spark.createDataFrame(entries, "pattern string, day date, listed boolean")
-    got = U.filter_captures(c, e, broadcast_rows=broadcast_rows).collect()
+    got = U.filter_captures(c, e, broadcast_rows=broadcast_rows, hot_captures=hot_captures).collect()
     rows = sorted(((str(r["page_id"]), str(r["url"]), str(r["fetched"]), r["blocked"], r["pattern"], r["n_active"]) for r in got), key=str)
     assert rows == plain(captures, entries) and sum(r[3] for r in rows) > 50
 
