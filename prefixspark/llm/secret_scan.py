@@ -161,15 +161,18 @@ def battery(s: str, nulls: dict = GENERAL) -> tuple[str, float]:
     z_uniform = (equal + 0.5 - pairs * kappa) / math.sqrt(pairs * kappa * (1 - kappa))
     side = [2 * i >= a for i in x]
     switches = sum(p != q for p, q in zip(side, side[1:], strict=False))
-    z_runs = -(switches - 0.5 - (n - 1) * switch) / math.sqrt((n - 1) * switch * (1 - switch))
+    # each test looks from the null's value towards a random string's, and is left out where the two are as good as equal
+    side_of = math.copysign(1, switch - 0.5)
+    z_runs = side_of * (switches + 0.5 * side_of - (n - 1) * switch) / math.sqrt((n - 1) * switch * (1 - switch))
     mean = sum(x) / n
     var = sum((i - mean) ** 2 for i in x)
     r = sum((p - mean) * (q - mean) for p, q in zip(x, x[1:], strict=False)) / var
-    # a random string's correlation is near 0: the test looks on that side, and is silent where the null's is 0 too
-    towards = math.copysign(1, correlation) if abs(correlation) > 0.02 else 0.0
-    z_serial = towards * (math.atanh(min(max(r, -0.999), 0.999)) - math.atanh(correlation)) * math.sqrt(n - 4)
+    z_serial = math.copysign(1, correlation) * (math.atanh(min(max(r, -0.999), 0.999)) - math.atanh(correlation)) * math.sqrt(n - 4)
+    told = [z for z, on in ((z_uniform, kappa * a > 1.05), (z_runs, abs(switch - 0.5) > 0.02), (z_serial, abs(correlation) > 0.02)) if on]
+    if not told:
+        return name, 1.0
     spread = math.sqrt(1 + n / SPREAD) if name in GLUED else 1.0
-    return name, max(_phi((z_uniform + z_runs + z_serial) / math.sqrt(3) / spread), 10.0**-DECADES)
+    return name, max(_phi(sum(told) / math.sqrt(len(told)) / spread), 10.0**-DECADES)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
