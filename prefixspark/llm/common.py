@@ -28,7 +28,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: lineage ends there, and a lost executor costs nothing before it."""
+    """Write ``df`` to the shared folder and read it again: lineage ends there, and a lost executor costs nothing before it.
+    Shuffles of steps before go first: Spark deletes their files once the driver has collected the frames that no one holds."""
+    df.sparkSession._jvm.java.lang.System.gc()
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append(path)

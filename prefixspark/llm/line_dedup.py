@@ -102,6 +102,7 @@ def near_lines(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str,
     met = met.select("doc_id", "t", F.when(F.size("lines") > 0, picked).alias("picked")).select("doc_id", "t", F.explode("picked").alias("l"))
     met = met.select("l.h1", "l.h2", F.struct("doc_id", "l.line_no", "t").alias("pos"), words_of(F.col("l.line")).alias("words"))
     met = met.dropDuplicates(["h1", "h2"])
+    spark, since = docs.sparkSession, scratch_mark()
     lines = materialise(met.select("h1", "h2", "pos", units_of(F.col("words"), min_words, min_chars).alias("words")), "line-words")
 
     # from here to the verification a line is its first hash
@@ -117,6 +118,7 @@ def near_lines(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str,
     keys = emitted.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a != b").select("key")
     met = emitted.join(keys, "key").join(distinct.select("h1", "pos"), "h1")
     met = materialise(met.select("key", "i", "pos"), "line-met")
+    drop_scratch(spark, since, keep=("line-words", "line-met"))
     at_place = met.where("i >= 0").groupBy("key", "i").agg(F.min("pos").alias("partner"))
     wholes = met.where("i < 0").groupBy("key").agg(F.min("pos").alias("partner"))
     lacking = met.where("i >= 0").groupBy("key").agg(F.min("pos").alias("partner"))
@@ -130,6 +132,7 @@ def near_lines(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str,
     failed = judged.where("NOT ok").select("pos")
     out = judged.where("ok").select("h1", "h2")
     if failed.isEmpty():
+        drop_scratch(spark, since, keep="line-judged")
         return out
     # keys collided: those lines meet all earlier lines of their keys
     mine = met.join(failed, "pos").select("key", "pos")
