@@ -7,7 +7,7 @@ links it finds, never the links of a group one by one, so a group of n fingerpri
 joined across tasks by large-star and small-star rounds, each written to the shared folder.
 
 ``near_duplicates`` links fingerprints alone. ``similar_groups`` links texts by the exact similarity of their shingle
-sets: wide fingerprints give candidate groups, and within a group all pairs are verified, again in tiles.
+sets: wide fingerprints give candidate groups; within a group the members meet a hub, and those that don't link with it all others.
 """
 
 from __future__ import annotations
@@ -251,44 +251,84 @@ def set_links(sets: list[np.ndarray], n_left: int, similarity: float, step: int
     return i, label[i]
 
 
-def verified_links(texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """Forest edges (u, v) of all pairs of one label in ``texts`` (node, label, text; each node once) of the similarity or more."""
-    large = texts.groupBy("label").agg(F.ceil(F.count("*") / VERIFY_ROWS).cast("int").alias("parts")).where("parts > 1")
-    large = materialise(large, "similar-large")
-    large = F.broadcast(large) if large.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else large
-    sets = texts.select("node", "label", "text").mapInArrow(_sets(shingle), "node long, label long, shingles array<long>")
-    dealt = sets.join(large, "label", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    sent = dealt.select("node", "label", "shingles", "part", other.alias("other"))
-    # groups of one part share tasks: a job is a group, or a pair of its parts
-    job = F.struct(F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"))
-    sent = sent.select("node", "shingles", "part", "label", job.alias("job"))
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shingles_at(column: pa.Array, i: int) -> np.ndarray:
+    return np.array(column[i].values.to_numpy(), np.int64)
+
+
+def _hub_links(similarity: float):
+    """Rows sorted by (label, part), each part's hub first: links of the part's members with the hub."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = hub = None
+        for batch in batches:
+            u, v = [], []
+            for i, (label, part, member, node) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
+                x = _shingles_at(batch.column(4), i)
+                if not member:
+                    at, hub = (label, part), (node, x)
+                elif at == (label, part):
+                    shared = len(np.intersect1d(hub[1], x, assume_unique=True))
+                    if shared >= similarity * (len(hub[1]) + len(x) - shared) - 1e-9:
+                        u.append(node)
+                        v.append(hub[0])
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return run
+
+
+def _job_links(similarity: float):
+    """Rows sorted by job (label, a, b) and side: links between side 0 and side 1, or among side 0 where there is no other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[int, int, np.ndarray]] = []
         last = None
 
         def links() -> pa.RecordBatch:
-            rows.sort(key=lambda r: r[1])
-            left = rows[0][1]
-            n_left = sum(r[1] == left for r in rows) if last[1] != last[2] else 0
-            i, j = set_links([r[2] for r in rows], n_left, similarity) if len(rows) > 1 else (np.empty(0, int),) * 2
-            node = np.array([r[0] for r in rows], np.int64)
+            n_left = sum(side == 0 for side, *_ in rows)
+            none = (np.empty(0, int),) * 2
+            i, j = set_links([r[2] for r in rows], n_left if n_left < len(rows) else 0, similarity) if len(rows) > 1 and n_left else none
+            node = np.array([r[1] for r in rows], np.int64)
             return pa.RecordBatch.from_arrays([pa.array(node[i], pa.int64()), pa.array(node[j], pa.int64())], names=["u", "v"])
 
         for batch in batches:
-            shingles = batch.column(4)
-            for i, (label, a, b, part, node) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 3, 5)), strict=True)):
+            for i, (label, a, b, side, node) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True)):
                 if (label, a, b) != last and rows:
                     yield links()
                     rows = []
                 last = (label, a, b)
-                rows.append((node, part, np.array(shingles[i].values.to_numpy(), np.int64)))
+                rows.append((side, node, _shingles_at(batch.column(5), i)))
         if rows:
             yield links()
 
-    keyed = sent.select("label", "job.a", "job.b", "part", "shingles", "node")
-    return keyed.repartition("label", "a", "b").sortWithinPartitions("label", "a", "b").mapInArrow(verify, "u long, v long")
+    return run
+
+
+def verified_links(texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Forest edges (u, v) that join all pairs of one label in ``texts`` (node, label, text; each node once) of the similarity or
+    more.
+
+    A group that fits a job is compared whole. In a larger one every member first meets the hub, its least node; those that link
+    with it are joined already. The rest, few in groups of copies, meet all members, in jobs of two parts: n + rest * n pairs.
+    """
+    sets = materialise(texts.select("node", "label", "text").mapInArrow(_sets(shingle), "node long, label long, shingles array<long>"), "similar-sets")
+    large = sets.groupBy("label").agg(F.ceil(F.count("*") / VERIFY_ROWS).cast("int").alias("parts"), F.min("node").alias("hub")).where("parts > 1")
+    large = materialise(large, "similar-large")
+    large = F.broadcast(large) if large.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else large
+    part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    members = sets.join(large, "label")
+    others = members.where("node <> hub").select("label", part("parts").alias("part"), F.lit(True).alias("member"), "node", "shingles")
+    hubs = members.where("node = hub").select("label", every("parts").alias("part"), F.lit(False).alias("member"), "node", "shingles")
+    met = others.unionByName(hubs).repartition("label", "part").sortWithinPartitions("label", "part", "member")
+    linked = materialise(met.mapInArrow(_hub_links(similarity), "u long, v long"), "similar-linked")
+    rest = members.where("node <> hub").join(linked, F.col("node") == F.col("u"), "left_anti")
+    crowds = materialise(rest.groupBy("label").agg(F.ceil(F.count("*") / VERIFY_ROWS).cast("int").alias("blocks")), "similar-rest")
+    crowds = F.broadcast(crowds) if crowds.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else crowds
+    left = rest.join(crowds, "label").select("label", part("blocks").alias("a"), every("parts").alias("b"), F.lit(0).alias("side"), "node", "shingles")
+    right = members.join(crowds, "label").select("label", every("blocks").alias("a"), part("parts").alias("b"), F.lit(1).alias("side"), "node", "shingles")
+    small = sets.join(large, "label", "left_anti").select("label", F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("side"), "node", "shingles")
+    jobs = small.unionByName(left).unionByName(right).repartition("label", "a", "b").sortWithinPartitions("label", "a", "b", "side")
+    return linked.unionByName(jobs.mapInArrow(_job_links(similarity), "u long, v long"))
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, words: int = 3, radius: int = 45) -> DataFrame:

@@ -86,8 +86,7 @@ def plain_groups(pairs, k=5, t=0.8):
 
     for i in range(len(pairs)):
         for j in range(i):
-            named = pairs[i][0] is not None and pairs[j][0] is not None and bool(sets[i] and sets[j])
-            if (named and len(sets[i] & sets[j]) >= t * len(sets[i] | sets[j])) or not (sets[i] or sets[j]):
+            if (bool(sets[i] and sets[j]) and len(sets[i] & sets[j]) >= t * len(sets[i] | sets[j])) or not (sets[i] or sets[j]):
                 label[max(root(i), root(j))] = min(root(i), root(j))
     least = {}
     for i, (doc_id, _) in enumerate(pairs):
@@ -105,8 +104,28 @@ def check_groups(docs, texts):
 
 def test_similar_groups_match_plain(small_docs, odd_docs, texts):
     assert check_groups(small_docs, texts) > 5
-    check_groups(odd_docs.where("doc_id IS NOT NULL OR text IS NULL"), texts)
-
+    check_groups(odd_docs, texts)
+
+
+def test_texts_of_null_ids_are_compared(spark, texts):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(None, " ".join(words)), (None, " ".join([*words, "more"])), (5, " ".join(["first", *words])), (None, " ".join(words[::-1])), (6, "else")]
+    assert check_groups(spark.createDataFrame(rows, "doc_id long, text string"), texts) == 2
+
+
+def test_chains_and_stars_in_one_large_group(spark, monkeypatch):
+    """Members that the hub doesn't reach: each shares four fifths with the next only."""
+    monkeypatch.setattr(D, "VERIFY_ROWS", 5)
+    chain = [(i, 1, " ".join(f"w{j}" for j in range(i * 4, i * 4 + 60))) for i in range(30)]
+    star = [(100 + i, 1, " ".join([*(f"v{j}" for j in range(80)), f"x{i}"])) for i in range(25)]
+    apart = [(200 + i, 1, " ".join(f"y{i}z{j}" for j in range(40))) for i in range(8)]
+    texts = spark.createDataFrame([*chain, *star, *apart], "node long, label long, text string")
+    links = [tuple(r) for r in D.verified_links(texts, 0.8, 5).collect()]
+    sets = {n: D.shingle_set(t, 5)[1] for n, _, t in (*chain, *star, *apart)}
+    assert all(len(set(sets[u]) & set(sets[v])) >= 0.8 * len(set(sets[u]) | set(sets[v])) - 1e-6 or u == v or (u // 100 == v // 100 < 2) for u, v in links)
+    nodes = sorted(sets)
+    label = D.components(len(nodes), D.np.array([nodes.index(u) for u, _ in links]), D.np.array([nodes.index(v) for _, v in links]))
+    assert sorted(D.np.unique(label, return_counts=True)[1].tolist()) == [1] * 8 + [25, 30]
 
 def test_large_groups_of_edited_copies(spark, texts, monkeypatch):
     monkeypatch.setattr(D, "VERIFY_ROWS", 20)  # so that a group has many verification jobs
