@@ -219,18 +219,27 @@ def _count_contexts(tree, depth: int):
 
 
 def _leaf_pairs(tree):
-    """(rid, key, n): the pairs of each text that begin with a kept leaf."""
+    """(rid, key, n): the pairs of each text that begin with a kept leaf, sent on before they exceed ``COUNTED`` by much."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*found, strict=True)], names=["rid", "key", "n"])
+            found.clear()
+            return out
+
         for batch in batches:
-            rid, keys, counts = [], [], []
-            for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                k, n = np.unique(leaf_keys(tree.value.leaf_total, _with_start(raw)), return_counts=True)
-                rid.append(np.full(len(k), i))
-                keys.append(k)
-                counts.append(n)
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (rid, keys, counts)], names=["rid", "key", "n"])
+            for i, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                k, n = np.unique(leaf_keys(tree.value.leaf_total, _with_start(raw.as_py())), return_counts=True)
+                found.append((np.full(len(k), i), k, n))
+                size += len(k)
+                if size > COUNTED:
+                    yield flush()
+                    size = 0
+        if found:
+            yield flush()
 
     return run
 
