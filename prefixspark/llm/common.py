@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 _fallback: dict[str, str] = {}
 _written: list[str] = []
+#: Which thread wrote a table: queries that run at once drop only their own.
+_owner: dict[str, int] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,6 +37,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append(path)
+    _owner[path] = threading.get_ident()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -46,10 +50,11 @@ def drop_scratch(spark: SparkSession, since: int = 0, keep: str | tuple[str, ...
     """Delete the tables written since a mark, but those of the names ``keep``. Operators so drop what their result doesn't read;
     what it reads belongs to the caller, who drops it when the result is written."""
     names = (keep,) if isinstance(keep, str) else keep
-    for path in [p for p in _written[since:] if not any(re.search(rf"/{re.escape(n)}-[0-9a-f]{{32}}$", p) for n in names)]:
+    for path in [p for p in _written[since:] if _owner[p] == threading.get_ident() and not any(re.search(rf"/{re.escape(n)}-[0-9a-f]{{32}}$", p) for n in names)]:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
         _written.remove(path)
+        del _owner[path]
 
 
 def free_name(df: DataFrame, name: str) -> str:
