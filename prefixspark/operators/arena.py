@@ -103,6 +103,39 @@ def reclaimable(current_era: Column, retired_era: Column, least_active: Column)
     return F.when(least_active.isNull(), age >= 1).otherwise((least_active > retired_era) & (age >= 2))
 
 
+def hazard_replay(ops: DataFrame) -> DataFrame:
+    """What each operation of a reclamation manager gives: ops are (manager, seq, op, id) with op "register", "refresh" or "release" (id
+    is the reader), "retire" (id is what goes), "advance" or "reclaim". Returns (manager, seq, op, era, reclaimed): the era after it,
+    and for a reclaim how many retired things it lets go, by the rule of ``reclaimable``.
+
+    A reader holds the era of its registration or last refresh. Sequential by manager, so each is one group.
+    """
+
+    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+        era, readers, retired, eras, gone = 0, {}, [], [], []
+        pdf = pdf.sort_values("seq")
+        for op, name in pdf[["op", "id"]].itertuples(index=False):
+            let_go = None
+            if op in ("register", "refresh"):
+                if op == "register" or name in readers:
+                    readers[name] = era
+            elif op == "release":
+                readers.pop(name, None)
+            elif op == "retire":
+                retired.append(era)
+            elif op == "advance":
+                era += 1
+            else:
+                least = min(readers.values(), default=None)
+                stays = [r for r in retired if not (era - r >= 1 if least is None else least > r and era - r >= 2)]
+                let_go, retired = len(retired) - len(stays), stays
+            eras.append(era)
+            gone.append(let_go)
+        return pdf[["manager", "seq", "op"]].assign(era=eras, reclaimed=pd.array(gone, "Int64"))
+
+    return ops.groupBy("manager").applyInPandas(replay, "manager BIGINT, seq BIGINT, op STRING, era BIGINT, reclaimed BIGINT")
+
+
 def vacuum(generations: DataFrame, readers: DataFrame, current_era: int) -> DataFrame:
     """``generations`` (generation, retired_era) with ``reclaim``; readers are (era)."""
     least = readers.agg(F.min("era").alias("least_active"))  # one row

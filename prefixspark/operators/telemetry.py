@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +47,29 @@ def ring(events: DataFrame, interval: str, order: str, capacity: int = RING_CAPA
     return sum_before(events, F.lit(1), interval, order, "kept").withColumn("kept", F.col("kept") < capacity)
 
 
+def ring_replay(ops: DataFrame, capacity: int = RING_CAPACITY) -> DataFrame:
+    """What each operation of a collector's ring gives: ops are (ring, seq, op, word) with op "push", "pop" or "drain". Returns (ring,
+    seq, op, kept, words): whether a push found room, the oldest word that a pop takes, all words that a drain takes.
+
+    A full ring drops what is pushed. Sequential by ring, so each is one group.
+    """
+
+    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+        held: deque[int] = deque()
+        kept, words = [], []
+        pdf = pdf.sort_values("seq")
+        for op, word in pdf[["op", "word"]].itertuples(index=False):
+            room = len(held) < capacity
+            taken = [] if op == "push" else [held.popleft() for _ in range(len(held) if op == "drain" else min(1, len(held)))]
+            if op == "push" and room:
+                held.append(int(word))
+            kept.append(room if op == "push" else None)
+            words.append(taken)
+        return pdf[["ring", "seq", "op"]].assign(kept=pd.array(kept, "boolean"), words=words)
+
+    return ops.groupBy("ring").applyInPandas(replay, "ring BIGINT, seq BIGINT, op STRING, kept BOOLEAN, words ARRAY<BIGINT>")
+
+
 def pump(events: DataFrame, order: str, kind: str = "kind") -> DataFrame:
     """The last six lines of the first 64 events, quiet kinds left out. Both limits are the feature."""
     batch = events.orderBy(order).limit(PUMP_BATCH)

@@ -83,3 +83,23 @@ def test_pressure(spark):
     assert [r["id"] for r in audit.sample(spark.range(200), "id").orderBy("id").collect()] == [0, 97, 194]
     rates = spark.createDataFrame([(5, 50), (0, 0)], "c INT, a INT").select(audit.contention_rate(F.col("c"), F.col("a")).alias("r")).collect()
     assert sorted(r["r"] for r in rates) == [0.0, 10.0]
+
+
+def test_hazards(spark):
+    ops = ["retire", "advance", "register 1", "reclaim", "refresh 1", "advance", "reclaim"]
+    ops += ["retire", "release 1", "reclaim", "advance", "reclaim"]  # nobody reads: one era is enough
+    ops += ["retire", "register 2", "advance", "advance", "reclaim", "refresh 2", "reclaim", "refresh 9", "reclaim"]
+    rows = [(0, i, *(x.split() + [None])[:2]) for i, x in enumerate(ops)]
+    rows += [(1, i, x, None) for i, x in enumerate(["retire", "retire", "retire", "advance", "reclaim"])]
+    df = spark.createDataFrame([(m, i, op, None if x is None else int(x)) for m, i, op, x in rows], "manager BIGINT, seq BIGINT, op STRING, id BIGINT")
+    got = arena.hazard_replay(df).where("op = 'reclaim'").orderBy("manager", "seq").collect()
+    assert [(r["manager"], r["era"], r["reclaimed"]) for r in got] == [(0, 1, 0), (0, 2, 1), (0, 2, 0), (0, 3, 1), (0, 5, 0), (0, 5, 1), (0, 5, 0), (1, 1, 3)]
+    assert arena.hazard_replay(df.limit(0)).count() == 0
+
+
+def test_collector(spark):
+    ops = [("push", 7), ("push", 8), ("push", 9), ("push", 10), ("push", 11), ("pop", None), ("push", 12), ("drain", None), ("pop", None), ("drain", None), ("push", 13), ("drain", None)]
+    df = spark.createDataFrame([(0, i, op, w) for i, (op, w) in enumerate(ops)] + [(1, 0, "push", 5)], "ring BIGINT, seq BIGINT, op STRING, word BIGINT")
+    got = telemetry.ring_replay(df, 4).orderBy("ring", "seq").collect()
+    assert [r["kept"] for r in got] == [True, True, True, True, False, None, True, None, None, None, True, None, True]
+    assert [list(r["words"]) for r in got] == [[], [], [], [], [], [7], [], [8, 9, 10, 12], [], [], [], [13], []]
