@@ -34,16 +34,31 @@ def _top(query_ids: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int) -> tuple
     return np.repeat(query_ids, order.shape[1]), ids[order].ravel(), np.take_along_axis(d, order, 1).ravel()
 
 
+def query_blocks(queries: DataFrame) -> list[DataFrame]:
+    """``queries`` in blocks of about ``QUERY_BLOCK`` rows, by a hash of query_id; no queries, no blocks."""
+    n = -(-queries.count() // QUERY_BLOCK)
+    return [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b) for b in range(n)]
+
+
+def distance_pairs(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", digits: int = 4) -> DataFrame:
+    """(query_id, id, distance) of each query (query_id, vec) and each vector. One block of queries is broadcast at a time, so that
+    no broadcast grows with the table."""
+    rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).alias("x"))
+    out = vectors.sparkSession.createDataFrame([], "query_id BIGINT, id BIGINT, distance DOUBLE")
+    for block in query_blocks(queries.select(F.col("query_id").cast("bigint").alias("query_id"), "vec")):
+        out = out.unionByName(rows.crossJoin(F.broadcast(block)).select("query_id", "id", F.round(l2_sq(F.col("vec"), F.col("x")), digits).alias("distance")))
+    return out
+
+
 def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", digits: int | None = None) -> DataFrame:
     """(query_id, rank, id, distance): the k nearest vectors of each query (query_id, vec). Queries go out in blocks by a hash of their
     id, of which the driver holds one at a time; each task keeps k of its own, so k rows a task and query are shuffled."""
     require(k >= 0, "k must not be negative")
     asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), "vec")
-    n_blocks = -(-asked.count() // QUERY_BLOCK)
     spark, schema = vectors.sparkSession, "query_id BIGINT, id BIGINT, distance DOUBLE"
-    out = spark.createDataFrame([], schema)
-    for b in range(n_blocks):
-        block = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b).collect()
+    out, blocks = spark.createDataFrame([], schema), query_blocks(asked)
+    for some in blocks:
+        block = some.collect()
         if not block:
             continue
         qs = spark.sparkContext.broadcast((np.array([r["query_id"] for r in block]), np.array([r["vec"] for r in block], float)))
@@ -59,7 +74,7 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "ve
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["query_id", "id", "distance"])
 
         found = vectors.select(F.col(id_col).cast("bigint"), vec_col).mapInArrow(run, schema)
-        out = found if n_blocks == 1 else out.unionByName(found)
+        out = found if len(blocks) == 1 else out.unionByName(found)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 

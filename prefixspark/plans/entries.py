@@ -239,8 +239,7 @@ _PAIRS = f"pairs AS (SELECT q.vec_id AS query_id, v.vec_id AS id, {_EMB} AS d FR
 
 @query(f"WITH {_PAIRS} SELECT query_id, id, round(d, 4) AS distance FROM pairs")
 def l2_pairs(spark, sf_dir):
-    pairs = _vectors(spark, sf_dir).crossJoin(F.broadcast(_queries(spark, sf_dir)))  # a query set against all rows
-    return pairs.select("query_id", F.col("vec_id").alias("id"), F.round(l2_sq(F.col("vec"), F.col("embedding")), 4).alias("distance"))
+    return vector.distance_pairs(_vectors(spark, sf_dir), _queries(spark, sf_dir))  # a query set against all rows
 
 
 @query(f"WITH {_PAIRS} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 4), id)::INT AS rank, id, round(d, 4) AS distance FROM pairs QUALIFY rank <= 10")

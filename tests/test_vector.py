@@ -86,6 +86,16 @@ def test_exact_topk_is_ordered_with_ties_by_id(spark):
     assert V.exact_topk(frame(spark, x), queries(spark, x[:3]), 0, "id", "vec").count() == 0
 
 
+def test_distance_pairs_go_out_in_blocks(spark, monkeypatch):
+    x = np.random.default_rng(2).integers(0, 3, size=(60, 4)).astype(float)
+    want = {(q, i): round(((x[q] - x[i]) ** 2).sum(), 4) for q in range(25) for i in range(60)}
+    for size in (V.QUERY_BLOCK, 4):
+        monkeypatch.setattr(V, "QUERY_BLOCK", size)
+        rows = V.distance_pairs(frame(spark, x), queries(spark, x[:25]), "id", "vec").collect()
+        assert len(rows) == len(want) and {(r["query_id"], r["id"]): r["distance"] for r in rows} == want
+    assert V.distance_pairs(frame(spark, x), queries(spark, x[:0]), "id", "vec").count() == 0
+
+
 def test_train_insert_search_recluster(spark, index):
     ix = index("ivf")
     with pytest.raises(InvalidParameter):
