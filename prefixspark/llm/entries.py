@@ -29,6 +29,23 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+OP4_SQL = r"""
+WITH words AS MATERIALIZED (SELECT true AS is_item, row_number() OVER () AS r, item_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM benchmark
+  UNION ALL SELECT false, row_number() OVER (), doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') FROM documents),
+items AS (SELECT r, id, s, least(len(ws), 5) AS k, len(ws) - least(len(ws), 5) + 1 AS n, count(*) AS m
+  FROM (SELECT *, unnest(list_transform(range(1, len(ws) - least(len(ws), 5) + 2), lambda i: array_to_string(ws[i : i + least(len(ws), 5) - 1], ' '))) AS s FROM words WHERE is_item AND len(ws) > 0) GROUP BY r, id, s, ws),
+tokens AS (SELECT r, id, n_words, place, [w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o] AS five
+  FROM (SELECT r, id, len(ws) AS n_words, unnest(ws) AS w, unnest(range(len(ws))) AS place FROM words WHERE NOT is_item) WINDOW o AS (PARTITION BY r ORDER BY place)),
+places AS (SELECT r, id, k, n_words, n_words - k + 1 AS h, place, array_to_string(five[1 : k], ' ') AS s FROM tokens, (SELECT DISTINCT k FROM items) WHERE place + k <= n_words),
+met AS (SELECT p.r, p.id AS doc_id, i.r AS i, i.id AS item_id, s, k, n, m, h, n_words, place FROM places p JOIN items i USING (k, s)),
+starts AS (SELECT *, unnest(CASE WHEN h < n THEN [0] ELSE range(greatest(0, place - n + 1), least(place, h - n) + 1) END) AS first_word FROM met),
+shared AS (SELECT r, doc_id, i, item_id, k, n, h, n_words, first_word, least(count(*), m) AS in_both FROM starts GROUP BY r, doc_id, i, item_id, k, n, h, n_words, first_word, s, m),
+found AS (SELECT r, doc_id, item_id, first_word, CASE WHEN h < n THEN n_words ELSE n + k - 1 END AS n_words, sum(in_both) / (least(h, n) + n - sum(in_both)) AS similarity FROM shared GROUP BY r, doc_id, i, item_id, k, n, h, shared.n_words, first_word)
+SELECT doc_id, item_id, similarity::DOUBLE AS similarity, first_word::BIGINT AS first_word, n_words::BIGINT AS n_words FROM found WHERE similarity >= 0.8
+QUALIFY row_number() OVER (PARTITION BY r, item_id ORDER BY similarity DESC, first_word) = 1
+"""
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(documents(spark, sf_dir)).withColumn("host_rate", F.round("host_rate", 6))
 
@@ -111,12 +128,46 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(documents(spark, sf_dir))
 
 
+OP8_SQL = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+pieces AS (SELECT r, p, octet_length(b) AS n, b[p + 1 : p + 1399] AS piece FROM (SELECT *, unnest(range(0, octet_length(b) - 399, 1000)) AS p FROM d)),
+windows AS (SELECT r, p + i AS a, md5(piece[i + 1 : i + 400]) AS h FROM (SELECT *, unnest(range(least(1000, n - 399 - p))) AS i FROM pieces)),
+repeated AS (SELECT r, a FROM windows QUALIFY count(*) OVER (PARTITION BY h) > 1),
+spans AS (SELECT r, min(a) AS lo, max(a) + 400 AS hi
+  FROM (SELECT r, a, sum(CASE WHEN a - before <= 400 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY a) AS span FROM (SELECT r, a, lag(a) OVER (PARTITION BY r ORDER BY a) AS before FROM repeated)) GROUP BY r, span),
+gone AS (SELECT r, sum(hi - lo)::BIGINT AS n_removed, count(*) AS n_spans, list(lo ORDER BY lo) AS los, list(hi ORDER BY lo) AS his FROM spans GROUP BY r),
+kept AS (SELECT d.*, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+    CASE WHEN los IS NULL THEN b ELSE list_reduce(list_append(list_transform(range(1, len(los) + 1), lambda i: b[CASE WHEN i = 1 THEN 0 ELSE his[i - 1] END + 1 : los[i]]), b[his[len(his)] + 1 : octet_length(b)]), lambda x, y: x || y) END AS k FROM d LEFT JOIN gone USING (r))
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, n_removed, n_spans, sha256(k) AS kept_sha256 FROM kept
+"""
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_report(documents(spark, sf_dir))
+    """The report, with the dropped lines' numbers as text."""
+    return line_dedup.line_report(documents(spark, sf_dir)).withColumn("dropped", F.array_join(F.col("dropped").cast("array<string>"), ","))
+
+
+OP10_SQL = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+split AS (SELECT r, doc_id, unnest(ls) AS line, unnest(range(len(ls)))::INT AS line_no FROM d),
+lines AS MATERIALIZED (SELECT * FROM (SELECT r, doc_id, line_no, regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+') AS ws FROM split) WHERE len(ws) > 0),
+firsts AS (SELECT ws, min((doc_id, line_no)) AS pos FROM lines GROUP BY ws),
+unit AS (SELECT pos, len(ws) >= 8 AS of_words, CASE WHEN len(ws) >= 8 THEN ws ELSE list_concat([chr(10), chr(10)], string_split(array_to_string(ws, ' '), '')) END AS u
+  FROM firsts WHERE len(ws) >= 8 OR length(array_to_string(ws, ' ')) >= 24),
+wholes AS (SELECT pos, md5(of_words || array_to_string(u, chr(31))) AS key FROM unit),
+without AS (SELECT pos, i, md5(of_words || array_to_string(list_concat(u[1 : i - 1], u[i + 1 : len(u)]), chr(31))) AS key FROM (SELECT *, unnest(range(1, len(u) + 1)) AS i FROM unit)),
+near AS (SELECT DISTINCT pos FROM (
+  SELECT pos FROM without QUALIFY min(pos) OVER (PARTITION BY i, key) < pos
+  UNION ALL SELECT a.pos FROM without a JOIN wholes b USING (key) WHERE b.pos < a.pos
+  UNION ALL SELECT b.pos FROM without a JOIN wholes b USING (key) WHERE a.pos < b.pos)),
+judged AS (SELECT r, line_no, n.pos IS NOT NULL AS near, (doc_id, line_no) > f.pos AS equal FROM lines JOIN firsts f USING (ws) LEFT JOIN near n ON n.pos = f.pos),
+counted AS (SELECT r, count(*) FILTER (NOT near) AS n_equal, count(*) FILTER (near) AS n_near, string_agg(line_no::VARCHAR, ',' ORDER BY line_no) AS dropped FROM judged WHERE near OR equal GROUP BY r)
+SELECT doc_id, len(ls) AS n_lines, coalesce(n_equal, 0) AS n_equal, coalesce(n_near, 0) AS n_near, len(ls) - coalesce(n_equal, 0) - coalesce(n_near, 0) AS n_kept, coalesce(dropped, '') AS dropped FROM d LEFT JOIN counted USING (r)
+"""
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,4 +182,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": OP5_SQL, "op7_url_filter": OP7_SQL}
+    return {"op4_decontaminate": OP4_SQL, "op5_quality_rules": OP5_SQL, "op7_url_filter": OP7_SQL, "op8_suffix_dedup": OP8_SQL, "op10_line_dedup": OP10_SQL}
