@@ -124,6 +124,8 @@ class Tree:
 
     def __init__(self, unigram: np.ndarray):
         self.unigram, self.levels = unigram, []
+        #: By symbol: the number of the context of that symbol alone, or -1.
+        self.first = np.full(len(unigram), -1, np.int32)
         #: By symbol: how often a leaf is followed and its weight of the suffix; 0 where the symbol is no kept leaf.
         self.leaf_total = self.leaf_low = np.zeros(len(unigram))
 
@@ -131,13 +133,17 @@ class Tree:
         """For each level, the number of the context before each symbol, or -1. ``s`` starts with an end as the context of
         its first symbol and has no position for it."""
         n = len(s) - 1
-        at = np.zeros(n, np.int64)  # the empty context
         for d, level in enumerate(self.levels[:depth]):
+            if d == 0:
+                at = self.first[s[:n]].astype(np.int64)
+                yield at
+                continue
             out = np.full(n, -1, np.int64)
-            keys = (at[d:] << 32) | s[: n - d] if d < n else np.empty(0, np.int64)
-            if len(keys) and len(level["find"]):
+            j = np.flatnonzero(at[d:] >= 0)
+            if len(j) and len(level["find"]):
+                keys = (at[j + d] << 32) | s[j]
                 i = np.minimum(np.searchsorted(level["find"], keys), len(level["find"]) - 1)
-                out[d:] = np.where((level["find"][i] == keys) & (at[d:] >= 0), level["number"][i], -1)
+                out[j + d] = np.where(level["find"][i] == keys, level["number"][i], -1)
             yield out
             at = out
 
@@ -324,6 +330,7 @@ def build_tree(coded: DataFrame, head_counts: np.ndarray, other: int, total: int
     # contexts of one symbol: all symbols but "other"; an end is the context of a text's first word
     singles = [s for s in range(END, len(n_symbol)) if n_symbol[s] >= least]
     level, parent, lower = _level({s: i for i, s in enumerate(singles)}, n_symbol[singles]), np.zeros(len(singles), np.int64), None
+    tree.first[singles] = np.arange(len(singles))
     for d in range(1, depth + 1):
         if not len(level["n"]):
             break
@@ -418,8 +425,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     space = total + 0.1 * (distinct + 1)
     base = np.concatenate([[0.0], np.log10((head_counts + 0.1) / space)])
     sent_tree = spark.sparkContext.broadcast(tree)
-    # each text's pairs meet the leaves' table; no key has more than a share of p_context of all pairs
-    gains = coded.select("rid", "symbols").mapInArrow(_leaf_pairs(sent_tree), "rid long, key long, n long").join(pairs.mapInArrow(_delta(sent_tree), "key long, delta double"), "key")
+    # each text's pairs meet the leaves' table; no key has more than a share of p_context of all pairs. The table's keys are unique,
+    # so a partition's part of it is an even share, and hashing that spares the sort of the texts' pairs
+    gains = coded.select("rid", "symbols").mapInArrow(_leaf_pairs(sent_tree), "rid long, key long, n long").join(pairs.mapInArrow(_delta(sent_tree), "key long, delta double").hint("shuffle_hash"), "key")
     gains = materialise(gains.groupBy("rid").agg(F.sum(F.col("n") * F.col("delta")).alias("leaf_gain")), "lm-gains")
     drop_scratch(spark, since, keep=("lm-words", "lm-coded", "lm-gains"))
     model = coded.select("rid", "doc_id", "held_out", "n_tokens", "symbols").mapInArrow(_score(sent_tree, spark.sparkContext.broadcast(base)), "rid long, doc_id long, held_out boolean, n_tokens long, base double, known long, model double")
