@@ -7,7 +7,8 @@ links it finds, never the links of a group one by one, so a group of n fingerpri
 joined across tasks by large-star and small-star rounds, each written to the shared folder.
 
 ``near_duplicates`` links fingerprints alone. ``similar_groups`` links texts by the exact similarity of their shingle
-sets: wide fingerprints give candidate groups; within a group the members meet a hub, and those that don't link with it all others.
+sets. Two similar sets share one of their first shingles in any common order, so only texts that do compare their wide
+fingerprints, which gives candidate groups; within a group the members meet a hub, and those that don't link with it all others.
 """
 
 from __future__ import annotations
@@ -33,6 +34,10 @@ TILE = 512
 MOST_PARTITIONS = 20_000
 #: Texts of a candidate group that meet in one verification job, from each side.
 VERIFY_ROWS = 256
+#: Texts of one first shingle that are paired where they are found; more meet in jobs of LIST_ROWS from each side.
+PAIRED, LIST_ROWS = 16, 4096
+#: Frequent shingles come last in the order: of those found FREQUENT times in one of ORDER_SHARE texts, at most MOST_FREQUENT.
+ORDER_SHARE, FREQUENT, MOST_FREQUENT = 64, 3, 200_000
 
 
 def bit_majority(h: np.ndarray, step: int = 1 << 16) -> int:
@@ -203,19 +208,132 @@ def wide_fingerprint(h: np.ndarray, words: int) -> list[int]:
     return out
 
 
-def _mark(shingle: int, words: int):
+def first_shingles(h: np.ndarray, similarity: float, frequent: np.ndarray) -> np.ndarray:
+    """The first of the sorted hashes ``h``, ``frequent`` (sorted) ones last: as many that two sets of the similarity share one of
+    them. Such sets share ``similarity`` times the larger's size, so less than that many of a set's hashes follow its first."""
+    n = len(h) - int(np.ceil(similarity * len(h) - 1e-6)) + 1
+    if not len(h) or not len(frequent):
+        return h[:n] if len(h) else h
+    late = frequent[np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)] == h
+    return np.concatenate([h[~late], h[late]])[:n]
+
+
+def frequent_shingles(texts: DataFrame, shingle: int) -> np.ndarray:
+    """Hashes of shingles that many of ``texts`` (text, t) have, sorted, from a share of the texts. They set an order and so the
+    length of lists; what is found doesn't depend on them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(t, shingle)[1] for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.empty(0, np.uint64)]).view(np.int64), pa.int64())], names=["h"])
+
+    some = texts.where(F.pmod("t", F.lit(ORDER_SHARE)) == 0).dropDuplicates(["t"]).select("text")
+    counted = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
+    rows = counted.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).select("h").collect()
+    return np.sort(np.array([r["h"] for r in rows], np.int64).view(np.uint64))
+
+
+def _mark(shingle: int, words: int, similarity: float, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()  # of a task's equal texts one has first shingles
         for batch in batches:
-            keys, fps = [], []
+            keys, fps, first = [], [], []
             for text in batch.column(1).to_pylist():
                 joined, h = shingle_set(text, shingle)
                 keys.append(xxhash.xxh3_64_intdigest(joined) - (1 << 63))
                 fps.append(np.array(wide_fingerprint(h, words), np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.int64()), pa.array(fps, pa.list_(pa.int64()))], names=["doc_id", "t", "node", "words"])
+                first.append(first_shingles(h[: 0 if keys[-1] in seen else None], similarity, frequent.value).view(np.int64))
+                seen.add(keys[-1])
+            columns = [pa.array(keys, pa.int64()), pa.array(fps, pa.list_(pa.int64())), pa.array(first, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=["doc_id", "t", "node", "words", "first"])
+
+    return run
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (h, node): the pairs (u, v) of up to ``PAIRED`` nodes of one h, or (h, u) for each node of a longer list."""
+
+    def found(h: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (node[1:] != node[:-1])
+        h, node = h[new], node[new]
+        starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, int)
+        size = np.diff(np.append(starts, len(h)))
+        of = np.repeat(size, size)
+        short = of <= PAIRED
+        at = [np.flatnonzero((h[:-d] == h[d:]) & short[:-d]) for d in range(1, min(PAIRED, len(h)))]
+        pairs = np.unique(np.concatenate([np.stack([node[i], node[i + d]], 1) for d, i in enumerate(at, 1)] or [np.empty((0, 2), np.int64)]), axis=0)
+        n, long = len(pairs), ~short
+        none = np.concatenate([np.ones(n, bool), np.zeros(long.sum(), bool)])
+        columns = np.concatenate([np.zeros(n, np.int64), h[long]]), np.concatenate([pairs[:, 0], node[long]]), np.concatenate([pairs[:, 1], node[long]])
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64(), mask=none), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64(), mask=~none)], names=["h", "u", "v"])
+
+    held, size = [], 0
+    for batch in batches:
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        size += len(held[-1][0])
+        if size >= 1 << 19:
+            h, node = (np.concatenate(c) for c in zip(*held, strict=True))
+            cut = int(np.searchsorted(h, h[-1]))  # the last list may go on
+            if cut:
+                yield found(h[:cut], node[:cut])
+            held = [(h[cut:], node[cut:])]
+            size = 0 if not cut else len(h) - cut
+    if held:
+        yield found(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+
+def _list_links(radius: int):
+    """Rows sorted by job (h, a, b) and side: links between side 0 and side 1, or among side 0 where a is b."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def links() -> pa.RecordBatch:
+            side, node, fp = (np.concatenate(c) for c in zip(*held, strict=True))
+            right = side == 1
+            fp = fp.view(np.uint64)
+            u, v = block_links(fp[~right], fp[right] if right.any() else None, radius) if job[1] == job[2] or right.any() and not right.all() else (np.empty(0, int),) * 2
+            return pa.RecordBatch.from_arrays([pa.array(node[u], pa.int64()), pa.array(node[v], pa.int64())], names=["u", "v"])
+
+        job = None
+        for batch in batches:
+            h, a, b, side, node = (batch.column(c).to_numpy() for c in range(5))
+            fp = np.stack([x.values.to_numpy() for x in batch.column(5)]) if len(h) else np.empty((0, 1), np.int64)
+            new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(h) else []
+            for i, j in zip(new, [*new[1:], len(h)], strict=True):
+                if held and job != (h[i], a[i], b[i]):
+                    yield links()
+                    held = []
+                job = (h[i], a[i], b[i])
+                held.append((side[i:j], node[i:j], fp[i:j]))
+        if held:
+            yield links()
 
     return run
 
 
+def first_links(first: DataFrame, fps: DataFrame, radius: int) -> DataFrame:
+    """Edges (u, v) that join all nodes of ``fps`` (node, words) that share a first shingle in ``first`` (h, node; rows may repeat)
+    and whose fingerprints are within the radius.
+
+    Short lists give pairs. The nodes of a longer one meet in jobs of two parts of bounded size, which return forests.
+    """
+    lists = materialise(first.repartition("h").sortWithinPartitions("h", "node").mapInArrow(_lists, "h long, u long, v long"), "similar-lists")
+    pairs = lists.where("h IS NULL").select("u", "v").distinct()
+    of = lambda side: fps.select(F.col("node").alias(side), F.col("words").alias(f"{side}_words"))
+    differ = F.aggregate(F.zip_with("u_words", "v_words", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, n: s + n)
+    near = pairs.join(of("u"), "u").join(of("v"), "v").where(differ <= radius).select("u", "v")
+    long = lists.where("h IS NOT NULL").select("h", F.col("u").alias("node"))
+    sizes = long.groupBy("h").agg(F.ceil(F.count("*") / LIST_ROWS).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    dealt = long.join(sizes, "h").withColumn("part", part).join(fps, "node")
+    other = dealt.select("h", "part", "node", "words", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o"))
+    jobs = other.select("h", F.least("part", "o").alias("a"), F.greatest("part", "o").alias("b"), (F.col("part") > F.col("o")).cast("int").alias("side"), "node", "words")
+    jobs = jobs.repartition("h", "a", "b").sortWithinPartitions("h", "a", "b", "side")
+    return near.unionByName(jobs.mapInArrow(_list_links(radius), "u long, v long"))
+
+
 def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -335,21 +453,21 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per input row: doc_id, component_id (the least doc_id that links reach). Texts link if their sets of shingles have
     a Jaccard similarity of ``similarity`` or more.
 
-    Candidates are fingerprints of ``words`` times 64 bits within ``radius``. At 0.8 two texts differ in 29 of 192 bits, 5 more
-    or less, so 45 misses one in two thousand at the very bound; unrelated texts differ in 96, 7 more or less. Texts without
-    words (null, empty) are equal, and so one group. Very long texts are compared whole. Rows that repeat are one group. Null ids
-    never name a group: one of null ids alone has a null id. An empty table gives an empty table. Other columns are not read.
+    Candidates share one of their first shingles (which all similar texts do) and have fingerprints of ``words`` times 64 bits
+    within ``radius``. At 0.8 two texts differ in 29 of 192 bits, 5 more or less, so 45 misses one in two thousand at the very
+    bound; unrelated texts differ in 96, 7 more or less. Texts without words (null, empty) are equal, and so one group. Very long
+    texts are compared whole. Rows that repeat are one group. Null ids never name a group: one of null ids alone has a null id.
+    An empty table gives an empty table. Other columns are not read.
     """
     text, since = text_of(text_col), scratch_mark()
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t"))
-    marked = materialise(picked.mapInArrow(_mark(shingle, words), "doc_id long, t long, node long, words array<long>"), "similar")
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(picked, shingle))
+    mark = _mark(shingle, words, similarity, frequent)
+    marked = materialise(picked.mapInArrow(mark, "doc_id long, t long, node long, words array<long>, first array<long>"), "similar")
     distinct = materialise(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("words").alias("words")), "similar-distinct")
-    fps = materialise(distinct.groupBy("words").agg(F.min("node").alias("rep")), "similar-fingerprints")
-    near = star_components(link_fingerprints(fps.select(F.col("rep").alias("node"), "words"), radius))
-    labelled = fps.join(near, F.col("rep") == F.col("node"), "left").select("words", F.coalesce("label", "rep").alias("label"))
-    grouped = distinct.join(labelled, "words").select("node", "least", "label")
-    several = grouped.groupBy("label").agg(F.count("*").alias("n")).where("n > 1").select("label")
-    wanted = materialise(grouped.join(several, "label").select("node", "label", "least"), "similar-candidates")
+    first = marked.select(F.explode("first").alias("h"), "node")
+    near = star_components(first_links(first, distinct.select("node", "words"), radius))
+    wanted = materialise(distinct.join(near, "node").select("node", "label", "least"), "similar-candidates")
     # the text of each node's least id
     w = wanted.select(F.col("node").alias("w_node"), "label", "least")
     at = marked.join(w, (F.col("node") == F.col("w_node")) & F.col("doc_id").eqNullSafe(F.col("least"))).groupBy("node", "label", "least").agg(F.min("t").alias("at_t"))

@@ -143,5 +143,35 @@ def test_large_groups_of_edited_copies(spark, texts, monkeypatch):
     assert check_groups(spark.createDataFrame(rows, "doc_id long, text string"), texts) > 50
 
 
+def test_similar_sets_share_a_first_shingle():
+    rng = np.random.default_rng(3)
+    for _ in range(3000):
+        n = int(rng.integers(1, 60))
+        x = rng.choice(2000, n, replace=False)
+        y = np.concatenate([x[: n - int(rng.integers(0, n // 4 + 1))], 2000 + rng.choice(50, int(rng.integers(0, n // 4 + 1)), replace=False)])
+        if (shared := len(np.intersect1d(x, y))) >= 0.8 * (len(x) + len(y) - shared) - 1e-9:
+            frequent = np.sort(rng.choice(2000, int(rng.integers(0, 1500)), replace=False)).astype(np.uint64)
+            a, b = (D.first_shingles(np.sort(z).astype(np.uint64), 0.8, frequent) for z in (x, y))
+            assert len(np.intersect1d(a, b)) and len(a) <= 0.2 * len(x) + 1
+
+
+def test_lists_of_all_lengths_give_the_links(spark, texts, monkeypatch):
+    """Pairs, longer lists and lists in parts; texts that share no shingle are not compared."""
+    monkeypatch.setattr(D, "LIST_ROWS", 4)
+    monkeypatch.setattr(D, "ORDER_SHARE", 1)
+    monkeypatch.setattr(D, "link_fingerprints", None)  # all with all
+    rng = random.Random(8)
+    rows = []
+    for size in (1, 2, 3, 4, 9, 30):
+        words = [f"g{size}w{j}" for j in range(120)]
+        for _ in range(size):
+            copy = list(words)
+            copy[rng.randrange(120)] = f"x{len(rows)}"
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(1000 + i, " ".join([*(f"common{j}" for j in range(30)), *(f"own{i}w{j}" for j in range(40))])) for i in range(20)]
+    rng.shuffle(rows)
+    assert check_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), texts) == 1 + 2 + 3 + 8 + 29
+
+
 def test_empty_table(no_docs):
     assert D.near_duplicates(no_docs).count() == 0
